@@ -65,3 +65,8 @@ def keep_matching(docs: DataFrame, kept: DataFrame, key: str = "doc_id") -> Data
     (name,) = fresh(docs, "_kept_key")
     keys = kept.select(F.col(key).alias(name))
     return docs.join(keys.hint("shuffle_hash"), docs[key].eqNullSafe(keys[name]), "left_semi")
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row, however often later steps name it: a generator keeps Catalyst from inlining it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))

@@ -16,7 +16,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from poolwright.llm.common import ascii_lower
+from poolwright.llm.common import ascii_lower, once
 
 THRESHOLD = 0.8
 #: Public licence notices and short licence texts.
@@ -63,17 +63,18 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     vocabulary = F.array(*[F.lit(x) for x in sorted(set().union(*sets.values()))])
     # Runs of other characters part words, and so does either end of a unit.
     clean = F.regexp_replace(ascii_lower(F.col("text")), "[^a-z0-9\\n]+", " ")
-    lines = F.split(clean, "\n", -1)
-    units = F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("unit")))
-    whole = F.array(F.struct(F.lit(-1).alias("line"), F.translate(clean, "\n", " ").alias("unit")))
-    units = docs.select("doc_id", F.inline(F.when(F.size(lines) > 1, F.concat(whole, units)).otherwise(units)))
+    texts = once(docs.select("doc_id", "text").filter(F.col("text") != ""), "clean", clean).select("doc_id", "clean")
+    texts = once(texts, "lines", F.transform(F.split("clean", "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("unit"))))
+    whole = F.array(F.struct(F.lit(-1).alias("line"), F.translate("clean", "\n", " ").alias("unit")))
+    units = texts.select("doc_id", F.inline(F.when(F.size("lines") > 1, F.concat("lines", whole)).otherwise(F.col("lines"))))
     # A unit has at most words - 1 distinct bigrams, and at least distinct words - 1: both bounds prune before bigrams are built.
     units = units.filter(F.regexp_count("unit", F.lit("[a-z0-9]+")) - 1 >= min(lows))
-    units = units.withColumn("words", F.filter(F.split(F.btrim("unit"), " +"), lambda w: w != ""))
+    units = once(units, "words", F.filter(F.split(F.btrim("unit"), " +"), lambda w: w != "")).select("doc_id", "line", "words")
     units = units.filter(F.size(F.array_distinct("words")) - 1 <= max(highs))
-    units = units.select("doc_id", "line", bigrams(F.col("words")).alias("grams"))
-    units = units.select("doc_id", "line", F.size("grams").alias("n"), F.array_intersect("grams", vocabulary).alias("shared"))
-    units = units.filter((F.size("shared") > 0) & (F.col("n") >= min(lows)) & (F.col("n") <= max(highs)))
+    units = once(units, "grams", bigrams(F.col("words"))).select("doc_id", "line", "grams")
+    units = units.filter(F.size("grams").between(min(lows), max(highs)))
+    units = once(units, "shared", F.array_intersect("grams", vocabulary))
+    units = units.filter(F.size("shared") > 0).select("doc_id", "line", "shared", F.size("grams").alias("n"))
 
     def score(name: str, own: list[str]) -> Column:
         low, high = bounds(len(own), threshold)
@@ -82,5 +83,5 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
         return F.when(F.col("n").between(low, high), F.struct((-dice).alias("rest"), F.lit(name).alias("license")))
 
     best = F.array_min(F.filter(F.array(*[score(*x) for x in sets.items()]), lambda s: s.isNotNull() & (s["rest"] <= -threshold)))
-    found = units.withColumn("best", best).filter("best is not null")
+    found = once(units, "best", best).filter("best is not null")
     return found.select("doc_id", "line", F.col("best.license").alias("license"), (-F.col("best.rest")).alias("dice"))
