@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poolwright.llm import exact_dedup, license_scan, line_dedup, mixing, secret_scan
+from poolwright.llm import exact_dedup, license_scan, line_dedup, minhash_dedup, mixing, quality, secret_scan
 from poolwright.llm.common import table
 
 
@@ -28,11 +28,19 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op4_exact_dedup, op5_line_dedup, op7_secret_scan, op9_mixing)
+    f.__name__: f for f in (op1_license_scan, op4_exact_dedup, op5_line_dedup, op7_secret_scan, op8_quality, op9_mixing, op10_minhash_dedup)
 }
