@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poolwright.llm import exact_dedup, fingerprint, license_scan, line_dedup, minhash_dedup, mixing, quality, secret_scan
+from poolwright.llm import exact_dedup, fingerprint, license_scan, line_dedup, minhash_dedup, mixing, quality, secret_scan, sentencepiece_codec
 from poolwright.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_neighbours(table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op3_fingerprints, op4_exact_dedup, op5_line_dedup, op7_secret_scan, op8_quality, op9_mixing, op10_minhash_dedup)
+    f.__name__: f for f in (op1_license_scan, op2_sentencepiece, op3_fingerprints, op4_exact_dedup, op5_line_dedup, op7_secret_scan, op8_quality, op9_mixing, op10_minhash_dedup)
 }
