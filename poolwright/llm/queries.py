@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poolwright.llm import exact_dedup, fingerprint, license_scan, line_dedup, minhash_dedup, mixing, quality, secret_scan, sentencepiece_codec
+from poolwright.llm import exact_dedup, fingerprint, license_scan, line_dedup, minhash_dedup, mixing, quality, secret_scan, sentencepiece_codec, suffix_dedup
 from poolwright.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -50,5 +54,5 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_sentencepiece, op3_fingerprints, op4_exact_dedup, op5_line_dedup, op7_secret_scan, op8_quality, op9_mixing, op10_minhash_dedup)
+    f.__name__: f for f in (op1_license_scan, op2_sentencepiece, op3_fingerprints, op4_exact_dedup, op5_line_dedup, op6_suffix_dedup, op7_secret_scan, op8_quality, op9_mixing, op10_minhash_dedup)
 }
