@@ -2,10 +2,10 @@
 
 1. One pass over the texts gives each document's set of five-word shingles, its digest, 256 minima (four one-permutation sketches of 64
    bins, empty bins filled from bins that a fixed random probe order names), 256 single bits of them and 51 band keys of five minima.
-2. Equal sets collapse to classes. In each bucket of a band every class meets two centres only, the least and a random one (a star), if sizes and
-   single bits allow the threshold. Pairs are confirmed on the full sets, and confirmed pairs give components.
-3. Stars can miss a link between classes of one bucket that are both far from its centres. So in each bucket that still holds
-   several components, every class outside the largest one meets the classes of the others, again behind the size and bit tests, and pairs that pass are confirmed.
+2. Equal sets collapse to classes. In each bucket of a band every class meets two centres only, the one that meets most classes in all bands and the
+   least (a star), if sizes and single bits allow the threshold. Pairs are confirmed on the full sets, and confirmed pairs give components.
+3. Stars can miss a link between classes of one bucket that are both far from its centres. So where buckets still hold several components,
+   every class outside their largest component is held against the other components' classes, in blocks of bounded size that give out links only.
    After this, any two linked classes that share a bucket are in one component.
 
 At similarity 0.75 two sets share no bucket with probability (1 - 0.75 ** 5) ** 51, about 1e-6 (somewhat more for sets of few shingles).
@@ -34,6 +34,8 @@ SKETCHES, BINS = 4, 64
 ROWS, BANDS = 5, 51
 #: Single bits that may differ: 32 are expected at similarity 0.75, 5.3 is their deviation; small sets deviate more.
 MOST_BITS = 84
+#: Shingles in a block of classes that are held against those of another.
+SHINGLES = 200_000
 SIGNATURE = "doc_id long, n long, d0 long, d1 long, b0 long, b1 long, b2 long, b3 long, bands array<long>"
 
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64))
@@ -117,6 +119,55 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return scratch(both.mapInArrow(_confirm, "a long, b long"), "near-links")
 
 
+def _missed(crowd: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between classes of different components that share a bucket.
+
+    The buckets that hold several components form families, one per largest component. Within a family each class outside that component is held
+    against all others, block against block: a block has SHINGLES shingles or so, its rows are in one task, and only links leave it.
+    """
+    figures = ["n", "b0", "b1", "b2", "b3"]
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+    labelled = scratch(labels.join(sizes, "label").withColumnRenamed("node", "own"), "near-labels")
+    placed = crowd.join(labelled, crowd["doc_id"] == labelled["own"], "left")
+    placed = scratch(placed.select("band", "doc_id", *figures, F.coalesce("label", "doc_id").alias("label"), F.coalesce("members", F.lit(1)).alias("members")), "placed")
+    mixed = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("members", "label")).alias("largest"))
+    mixed = scratch(mixed.filter("low <> high").select("band", F.col("largest.label").alias("family")), "mixed")
+    family = scratch(placed.join(mixed, "band").select("family", "doc_id", "label", *figures).distinct(), "families")
+    outside = F.col("label") != F.col("family")
+    blocks = lambda n: F.ceil(n / SHINGLES).cast("int")
+    size = family.groupBy("family").agg(blocks(F.sum("n")).alias("all"), blocks(F.sum(F.when(outside, F.col("n")))).alias("out"))
+    own = family.join(scratch(size, "family-sizes"), "family")
+    place = lambda n: F.pmod(F.hash("doc_id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = own.filter(outside).select("family", place("out").alias("i"), every("all").alias("j"), F.lit(True).alias("left"), "doc_id", "label", *figures)
+    right = own.select("family", every("out").alias("i"), place("all").alias("j"), F.lit(False).alias("left"), "doc_id", "label", *figures)
+    rows = scratch(left.unionByName(right), "blocks").join(texts, "doc_id")
+    return scratch(rows.groupBy("family", "i", "j").applyInArrow(_compare, "a long, b long").distinct(), "missed-links")
+
+
+def _compare(block: pa.Table) -> pa.Table:
+    """Links between the left rows of a block and its other rows of different label."""
+    ids, labels, n = (block.column(c).to_numpy() for c in ("doc_id", "label", "n"))
+    left = block.column("left").to_numpy()
+    bits = np.stack([block.column(f"b{k}").to_numpy() for k in range(4)], axis=1)
+    sets: dict[int, np.ndarray] = {}
+
+    def shingles(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingle_set(block.column("text")[i].as_py(), WORDS)
+        return sets[i]
+
+    right, found = np.flatnonzero(~left), []
+    for i in np.flatnonzero(left):
+        differ = np.bitwise_count(bits[right] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        fits = (labels[right] != labels[i]) & (n[right] * 100 >= n[i] * PERCENT) & (n[i] * 100 >= n[right] * PERCENT) & (differ <= MOST_BITS)
+        for j in right[fits]:
+            if similar(shingles(int(i)), shingles(int(j)), PERCENT):
+                found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    a, b = zip(*found) if found else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     ship(docs.sparkSession)
@@ -129,36 +180,24 @@ def near_components(docs: DataFrame) -> DataFrame:
     one_each = scratch(one_each, "class-bands")
     banded = one_each.select(F.explode("bands").alias("band"), "doc_id", *figures)
 
-    # Buckets of several classes, with two centres each.
-    least = F.min(F.struct("doc_id", *figures)).alias("least")
-    other = F.min(F.struct(F.xxhash64("doc_id").alias("order"), "doc_id", *figures)).alias("other")
-    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), least, other).filter("size > 1")
-    centres = F.array("least", F.struct("other.doc_id", *[f"other.{x}" for x in figures]))
-    buckets = scratch(buckets.select("band", *[F.col(f"least.{x}").alias(f"l_{x}") for x in ["doc_id", *figures]], *[F.col(f"other.{x}").alias(f"o_{x}") for x in ["doc_id", *figures]]), "buckets")
-    met = banded.join(buckets, "band")
-    to = F.array(*[F.when((F.col("doc_id") != F.col(f"{c}doc_id")) & near("", c), F.col(f"{c}doc_id")) for c in ("l_", "o_")])
+    # Buckets of several classes. A class that meets many others is central; each bucket's most central class and its least are its centres.
+    several = scratch(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
+    crowd = scratch(banded.join(several, "band"), "crowd")
+    central = scratch(crowd.groupBy("doc_id").agg(F.sum("size").alias("met")), "central")
+    most = F.max(F.struct("met", (-F.col("doc_id")).alias("minus"), *figures)).alias("m")
+    least = F.min(F.struct("doc_id", *figures)).alias("l")
+    centres = crowd.join(central, "doc_id").groupBy("band").agg(most, least)
+    named = [(-F.col("m.minus")).alias("m_doc_id"), F.col("l.doc_id").alias("l_doc_id"), *[F.col(f"{c}.{x}").alias(f"{c}_{x}") for c in "ml" for x in figures]]
+    met = crowd.join(scratch(centres.select("band", *named), "centres"), "band")
+    to = F.array(*[F.when((F.col("doc_id") != F.col(f"{c}doc_id")) & near("", c), F.col(f"{c}doc_id")) for c in ("m_", "l_")])
     stars = met.filter(F.exists(to, lambda x: x.isNotNull())).select("doc_id", F.explode(F.array_compact(to)).alias("centre"))
     stars = stars.select(*pair(F.col("doc_id"), F.col("centre")))
 
     # Texts of the classes that share a bucket with any other, fetched once.
-    shared = scratch(banded.join(buckets.select("band"), "band", "left_semi").select("doc_id").distinct(), "shared")
-    texts = scratch(keep_matching(source, shared), "near-texts")
+    texts = scratch(keep_matching(source, central), "near-texts")
     links = confirm(stars, texts)
     labels = components(links)
-
-    # Buckets that hold several components: all pairs with a class outside the largest.
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
-    labelled = scratch(labels.join(sizes, "label"), "near-labels")
-    placed = one_each.join(labelled.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = placed.select(F.explode("bands").alias("band"), "doc_id", *figures, F.coalesce("label", "doc_id").alias("label"), F.coalesce("members", F.lit(1)).alias("members"))
-    placed = scratch(placed.join(buckets.select("band"), "band", "left_semi"), "placed")
-    mixed = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("members", "label")).alias("largest"))
-    mixed = scratch(mixed.filter("low <> high").select("band", F.col("largest.label").alias("largest")), "mixed")
-    members = scratch(placed.join(mixed, "band"), "mixed-members")
-    outside = members.filter("label <> largest").select("band", *[F.col(x).alias(f"x_{x}") for x in ["doc_id", "label", *figures]])
-    met = members.join(outside, "band").filter((F.col("label") != F.col("x_label")) & near("", "x_"))
-    rest = met.select(*pair(F.col("doc_id"), F.col("x_doc_id")))
-    labels = components(links.unionByName(confirm(rest, texts)))
+    labels = components(links.unionByName(_missed(crowd, labels, texts)))
 
     # Component of a class, then of its documents.
     of_class = classes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
