@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +33,9 @@ DIMS, NONZERO, WINDOW, HIDDEN = 32, 4, 2, 24
 SHAPES = {"lower": 16384, "capital": 4096, "upper": 4096, "mixed": 2048, "digit": 1024, "mark": 2048}
 ROWS = sum(SHAPES.values())
 #: Tokens handled at a time.
-CHUNK = 200_000
-CACHE = 300_000
+CHUNK = 100_000
+#: A worker forgets its tokens' rows when it has so many.
+CACHE = 100_000
 
 _FIRST = dict(zip(SHAPES, np.cumsum([0, *SHAPES.values()])))
 _token = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
@@ -107,6 +107,7 @@ def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 parts, held = [], 0
     if parts:
         add(parts)
+    _rows.clear()
     used = np.flatnonzero(seen)
     columns = [pa.array(used.astype(np.int32)), pa.array(seen[used]), *[pa.array(table[used, d]) for d in range(DIMS)]]
     yield pa.RecordBatch.from_arrays(columns, names=["row", "seen", *[f"v{d}" for d in range(DIMS)]])
@@ -244,10 +245,10 @@ def scorer(docs: DataFrame, table: np.ndarray, net: Network):
     """A function of a text column: the probability of label 1."""
     kept = docs.sparkSession.sparkContext.broadcast((table, net))
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         words, network = kept.value
-        return pd.Series(network.score(pooled(iter(texts), len(texts), words)))
+        return pa.array(network.score(pooled((t.as_py() for t in texts), len(texts), words)))
 
     return score
 

@@ -36,7 +36,7 @@ BLANK = "▁"
 SAMPLES = 2
 SEED = 1234
 #: Characters of text that are sampled together.
-GROUP = 4_000_000
+GROUP = 1_500_000
 _chunk = re.compile(" *[^ \n]+| +|\n")
 _ODD, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -158,7 +158,7 @@ class Lattice:
         count = np.diff(np.r_[first, len(source)])
         self.at, self.end = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
         self.at[source[first] + 1], self.end[source[first] + 1] = first, first + count
-        self.to, self.of = np.where(target == ends[source], 0, target + 1), source + 1
+        self.to, self.of = np.where(target == ends[source], 0, target + 1).astype(np.int32), (source + 1).astype(np.int32)
         beta = np.ones(n + 1)
         last = np.where(self.to == 0, n, target)
         levels = np.r_[np.flatnonzero(np.r_[True, left[1:] != left[:-1]]), len(left)]
@@ -176,9 +176,8 @@ class Lattice:
         upto = np.cumsum(self.q)
         self.upto = upto - np.repeat(np.r_[0.0, upto][first], count)
         self.upto[first + count - 1] = 2.0
-        with np.errstate(divide="ignore"):
-            self.log_q, self.log_rest = np.log(self.q), np.log(np.maximum(1 - self.q, 0))
-        self.log_rest[first[count == 1]] = -np.inf
+        self.only = np.zeros(len(source), bool)
+        self.only[first[count == 1]] = True
 
     def spell(self, choices: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of rows of choices, characters without a piece spelled out, and where each row ends."""
@@ -240,13 +239,16 @@ class _Path:
     def value(self, lattice: Lattice, best: np.ndarray, open_from: np.ndarray, keys: np.ndarray, salt: int) -> None:
         counts = self.ends - self.starts
         row = np.repeat(np.arange(len(counts)), counts)
-        log_q = lattice.log_q[self.t]
+        q = lattice.q[self.t]
+        log_q = np.log(q)
+        with np.errstate(divide="ignore"):
+            log_rest = np.where(lattice.only[self.t], -np.inf, np.log(np.maximum(1 - q, 0)))
         total = np.cumsum(log_q)
         base = np.r_[0.0, total][self.starts]
         self.before = total - log_q - base[row]
         self.log_p = np.r_[0.0, total][self.ends] - base
         place = np.arange(len(row)) - self.starts[row]
-        mass = np.where(place >= open_from[row], self.before + lattice.log_rest[self.t], -np.inf)
+        mass = np.where(place >= open_from[row], self.before + log_rest, -np.inf)
         self.rest = truncated(mass, best[row], uniform(keys[row] ^ np.uint64(salt), place))
 
     def best(self) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: A worker forgets its word hashes when it has so many.
-CACHE = 300_000
+CACHE = 100_000
 #: Odd 64-bit multipliers.
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
