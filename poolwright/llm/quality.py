@@ -176,7 +176,8 @@ class Network:
         return np.maximum((x - self.centre) / self.scale @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return sigmoid(self.logit(x) / self.temperature)
+        # Rounded, as sums of a matrix product may differ in the last place from batch to batch.
+        return np.round(sigmoid(self.logit(x) / self.temperature), 9)
 
 
 def fit(x: np.ndarray, y: np.ndarray, epochs: int = 60, batch: int = 128, rate: float = 3e-3, decay: float = 1e-4) -> Network:
