@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from poolwright.functions.rpc import register
 from poolwright.operators import channel as C
 from poolwright.operators import log as L
 from poolwright.operators import series
@@ -230,6 +231,18 @@ def handle_interning(spark, d):
     return first.select("pool", "kind", (F.dense_rank().over(W.partitionBy("pool").orderBy("f")) + 1).cast("long").alias("handle"), "n")
 
 
+@query(
+    BASE
+    + """, c AS (SELECT event_id, k, CASE kind WHEN 'JOIN' THEN 'square' WHEN 'LEAVE' THEN 'inverse' ELSE 'missing' END AS method FROM log WHERE event_id < 2000)
+SELECT event_id, method <> 'missing' AND NOT (method = 'inverse' AND k = 0) AS ok, CASE method WHEN 'square' THEN k * k WHEN 'inverse' THEN CASE WHEN k > 0 THEN 1000 // k END END AS result FROM c"""
+)
+def rpc_invoke(spark, d):
+    register(spark, "invoke", {"square": lambda x: x * x, "inverse": lambda x: 1000 // x})
+    method = F.when(F.col("kind") == "JOIN", "square").when(F.col("kind") == "LEAVE", "inverse").otherwise("missing")
+    event_log(spark, d).filter("event_id < 2000").select("event_id", "k", method.alias("method")).createOrReplaceTempView("rpc_calls")
+    return spark.sql("SELECT event_id, ok, result FROM rpc_calls, LATERAL invoke(method, k)")
+
+
 @query(None)
 def bounded_cache(spark, d):
     """The newest entry of each member, then 25 of them in hash order: a top-k report."""

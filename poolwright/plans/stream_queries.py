@@ -29,3 +29,14 @@ def stream_membership(spark, d):
 def stream_tumbling_counts(spark, d):
     out = M.drain(spark, M.tumbling_counts(_events(spark, d)), "complete")
     return out.select(F.unix_millis("w.start").alias("day_ms"), "kind", "n")
+
+
+@query(
+    BASE
+    + """, g AS (SELECT member, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY member ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS first FROM log),
+s AS (SELECT *, sum(first) OVER (PARTITION BY member ORDER BY ts) AS spell FROM g)
+SELECT member, epoch_us(min(ts)) // 1000 AS start_ms, epoch_us(max(ts)) // 1000 + 43200000 AS suspect_ms, count(*) AS n FROM s GROUP BY member, spell"""
+)
+def stream_heartbeat_sessions(spark, d):
+    out = M.drain(spark, M.heartbeat_sessions(_events(spark, d)), "complete")
+    return out.select("member", F.unix_millis("w.start").alias("start_ms"), F.unix_millis("w.end").alias("suspect_ms"), "n")

@@ -51,3 +51,9 @@ def tumbling_counts(events: DataFrame, width: str = "1 day", late: str = "1 day"
     """Events by kind and window of their time."""
     timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
     return timed.groupBy(F.window("at", width).alias("w"), "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def heartbeat_sessions(events: DataFrame, silence: str = "12 hours", late: str = "1 day") -> DataFrame:
+    """Spells of a member without a silence: a spell's end plus the silence is when it becomes suspect."""
+    timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+    return timed.groupBy(F.session_window("at", silence).alias("w"), "member").agg(F.count(F.lit(1)).alias("n"))

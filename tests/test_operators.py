@@ -94,3 +94,18 @@ def test_batch_and_stream_membership_agree(spark, data):
 
     batch, stream = QUERIES["effective_membership"](spark, data), QUERIES["stream_membership"](spark, data)
     assert got(batch, "pool", "member", "kind", "delta") == got(stream, "pool", "member", "kind", "delta")
+
+
+def test_statistics_files(spark, tmp_path):
+    from poolwright.sources import statistics as T
+
+    rows = [(1, "a", "size", t, v) for t, v in ((0, 1), (10, 2), (20, 3))] + [(2, "b", "size", 0, 7), (2, "b", "size", 40, 8)]
+    first = spark.createDataFrame(rows, "pool long, id string, series string, t long, value long")
+    T.write_snapshot(first, str(tmp_path / "s"), 1)
+    T.write_snapshot(first.filter("pool = 1").withColumn("value", F.col("value") + 1), str(tmp_path / "s"), 2)
+    back = T.read_experiment(spark, str(tmp_path / "s"))
+    assert got(back, "pool", "t", "value") == [(1, 0, 2), (1, 10, 3), (1, 20, 4), (2, 0, 7), (2, 40, 8)]
+    report = T.pool_size_report(back, points=4)
+    assert dict(got(report, "t", "mean"))[0] == 4.5 and dict(got(report, "t", "mean"))[20] == 7.0
+    T.write_report(report, str(tmp_path / "r"))
+    assert spark.read.option("sep", "\t").option("header", "true").csv(str(tmp_path / "r")).count() == report.count()
