@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -99,10 +100,12 @@ class Vocabulary:
             open_ = open_[~hit & (self.keys[at] != 0)]
         return out
 
+    def spelled(self, ids) -> bytes:
+        """UTF-8 bytes of piece ids. The blank that encoding puts first goes."""
+        return b"".join(map(self.bytes.__getitem__, ids)).removeprefix(b" ")
+
     def decode(self, ids) -> str:
-        """Text of piece ids. The blank that encoding puts first goes."""
-        text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
+        return self.spelled(ids).decode("utf-8", "replace")
 
 
 class Lattice:
@@ -269,14 +272,14 @@ def sample(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k: int) -
     """(row, rank from 1, piece ids, log probability, log inclusion) of up to k segmentations of each text."""
     n = len(texts)
     chunks = [_chunk.findall(" " + t) if t else [] for t in texts]
-    kinds: dict[str, int] = {}
-    which = np.array([kinds.setdefault(c, len(kinds)) for row in chunks for c in row], np.int64)
+    kinds = {c: i for i, c in enumerate(dict.fromkeys(chain.from_iterable(chunks)))}
+    sizes = np.array([len(c) for c in chunks], np.int64)
+    which = np.fromiter(map(kinds.__getitem__, chain.from_iterable(chunks)), np.int64, int(sizes.sum()))
     if not kinds:
         yield from ((i, 1, np.empty(0, np.int32), 0.0, 0.0) for i in range(n))
         return
     lattice = Lattice(vocabulary, list(kinds))
     start = lattice.start[which]
-    sizes = np.array([len(c) for c in chunks], np.int64)
     chunk_end = np.cumsum(sizes)
     row_of = np.repeat(np.arange(n), sizes)
     within = (np.arange(len(start)) - (chunk_end - sizes)[row_of]).astype(np.uint64)
@@ -364,7 +367,7 @@ def _encoder(kept, k: int, seed: int):
                 pieces.append(out)
                 log_p.append(p)
                 inclusion.append(q)
-                sha.append(hashlib.sha256(vocabulary.decode(out.tolist()).encode("utf-8", "surrogatepass")).hexdigest())
+                sha.append(hashlib.sha256(vocabulary.spelled(out.tolist())).hexdigest())
             sizes = np.array([len(x) for x in pieces], np.int64)
             flat = pa.array(np.concatenate(pieces) if pieces else np.empty(0, np.int32), pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), flat)
