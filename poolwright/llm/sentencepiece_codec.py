@@ -37,7 +37,7 @@ BLANK = "▁"
 SAMPLES = 2
 SEED = 1234
 #: Characters of text that are sampled together.
-GROUP = 1_500_000
+GROUP = 600_000
 _chunk = re.compile(" *[^ \n]+| +|\n")
 _ODD, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
