@@ -62,9 +62,9 @@ def decide(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
     known = index.table()
     # Digests of very many rows would meet in one task of the join; fewer than HOT can be that frequent, so these few are sent to the rows.
     total = rows.agg(F.sum("copies")).first()[0] or 0
-    hot = known.filter(F.col("group_size") > max(total // HOT, HOT)).select("digest", "keep_id", "group_size", "batch")
-    hot_rows = rows.join(F.broadcast(hot), "digest")
-    rest = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(known.hint("merge"), "digest")
+    frequent = F.broadcast(groups.filter(F.col("group_size") > max(total // HOT, HOT)).select("digest"))
+    hot_rows = rows.join(F.broadcast(known.join(frequent, "digest", "left_semi")), "digest")
+    rest = rows.join(frequent, "digest", "left_anti").join(known.hint("merge"), "digest")
     copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
     found = hot_rows.unionByName(rest).select("*", copy)
     kept = (F.col("batch") == batch) & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
