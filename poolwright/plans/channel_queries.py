@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 
 from poolwright.functions.rpc import register
 from poolwright.operators import channel as C
-from poolwright.operators import log as L
 from poolwright.operators import series
 from poolwright.plans.registry import Registry
 from poolwright.sources.tables import BASE, event_log, read
