@@ -109,3 +109,14 @@ def test_statistics_files(spark, tmp_path):
     assert dict(got(report, "t", "mean"))[0] == 4.5 and dict(got(report, "t", "mean"))[20] == 7.0
     T.write_report(report, str(tmp_path / "r"))
     assert spark.read.option("sep", "\t").option("header", "true").csv(str(tmp_path / "r")).count() == report.count()
+
+
+def test_every_event_is_invoked(spark, tmp_path):
+    from poolwright.plans.catalogue import QUERIES
+
+    kinds, n = ["signup", "purchase", "view"], 4500
+    rows = [(i, f"2024-01-01 00:00:{i % 60:02}", i % 7, kinds[i % 3], 1.0, f'{{"k": {i % 5}}}') for i in range(n)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    want = {i: [(True, k * k), (k > 0, 1000 // k if k else None), (False, None)][i % 3] for i in range(n) for k in [i % 5]}
+    found = QUERIES["rpc_invoke"](spark, str(tmp_path)).collect()
+    assert len(found) == n and {r["event_id"]: (r["ok"], r["result"]) for r in found} == want
