@@ -3,7 +3,12 @@
 Units are each line of a document, and the whole document if it has several lines. Text is normalised to lower-case ASCII words. A template can reach
 the threshold t only if the unit's number of bigrams lies within [n * t / (2 - t), n * (2 - t) / t], so other templates are
 pruned by size before any set is built, and units outside all bounds never build theirs. Templates are a fixed list, so
-everything happens in one pass over the texts, without a shuffle.
+everything happens in two passes over the texts, without a shuffle.
+
+A template may also lie over several lines of a longer document, or within a longer line. passages() finds it wherever it is: in the words of the whole document,
+it takes the runs that start and end on a bigram of the template (any other run is bettered by cutting its ends off) and have at most (2 - t) / t times the template's words.
+Of runs of one template that overlap the one with the greatest Dice stays, of those of several templates the one that shares most bigrams. A row is given
+for each that no unit has told of: its line is the one on which it starts.
 
 Defined cases: null and empty texts match nothing; a unit of one word has no bigram and matches nothing; of templates with equal Dice the first by name wins; repeated rows
 give repeated results; an empty table gives an empty result; further columns are ignored.
@@ -11,7 +16,10 @@ give repeated results; an empty table gives an empty result; further columns are
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +65,12 @@ def bigrams(words: Column) -> Column:
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """The best template of each unit that reaches the threshold: doc_id, line (from 0; -1: the whole text), license, dice."""
+    """Units and passages that reach the threshold: doc_id, line (from 0; -1: the whole text), license, dice."""
+    return units(docs, templates, threshold).unionByName(passages(docs, templates, threshold))
+
+
+def units(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """The best template of each line and of each whole text."""
     sets = {name: plain_bigrams(text) for name, text in sorted(templates.items())}
     lows, highs = zip(*(bounds(len(x), threshold) for x in sets.values()))
     vocabulary = F.array(*[F.lit(x) for x in sorted(set().union(*sets.values()))])
@@ -85,3 +98,109 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     best = F.array_min(F.filter(F.array(*[score(*x) for x in sets.items()]), lambda s: s.isNotNull() & (s["rest"] <= -threshold)))
     found = once(units, "best", best).filter("best is not null")
     return found.select("doc_id", "line", F.col("best.license").alias("license"), (-F.col("best.rest")).alias("dice"))
+
+
+def anchors(grams: list[str], threshold: float) -> list[list[str]]:
+    """Sets of words: a text that shares enough of these bigrams has a word of each set.
+
+    It can spare only so many bigrams, so it has one of any greater number: of those of a word that is in more, and of disjoint groups, taken by
+    long words in many bigrams, and again by those in most bigrams.
+    """
+    spare = len(grams) - math.ceil(bounds(len(grams), threshold)[0] - 1e-9)
+    held = {w: {g for g in grams if w in g.split(" ")} for w in sorted({w for g in grams for w in g.split(" ")}, reverse=True)}
+    out = [[w] for w in held if len(held[w]) > spare]
+    for order in (lambda w: -len(held[w]) * len(w) * (len(w) > 3), lambda w: (-len(held[w]), -len(w))):
+        left, group, taken = set(grams), [], 0
+        for word in sorted(held, key=order):
+            own = held[word] & left
+            if own:
+                left, group, taken = left - own, [*group, word], taken + len(own)
+            if taken > spare:
+                out, group, taken = [*out, group], [], 0
+    return sorted(out, key=lambda x: (min(map(len, x)) < 4, len(x)))
+
+
+def may_hold(grams: list[str], threshold: float) -> Column:
+    """Whether a text, also given in lower case as column low, has what anchors() asks for. Short words are looked for as whole words."""
+    has = lambda w: F.contains("low", F.lit(w)) if len(w) > 3 else F.rlike("text", F.lit(f"(?i)(?<![a-z0-9]){w}(?![a-z0-9])"))
+    return reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, map(has, group)) for group in anchors(grams, threshold)])
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, within a lambda."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def apart(runs: Column, kind: str) -> Column:
+    """Of runs in order of merit, those that overlap no better one."""
+    free = lambda kept, x: ~F.exists(kept, lambda y: (y["first"] <= x["last"]) & (x["first"] <= y["last"]))
+    return F.aggregate(runs, F.array().cast(f"array<{kind}>"), lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+
+
+def passages(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """Runs of words, wherever they lie, that reach the threshold and that units() has not told of."""
+    sets = {name: plain_bigrams(text) for name, text in sorted(templates.items())}
+    vocabulary = F.array(*[F.lit(x) for x in sorted(set().union(*sets.values()))])
+    known = F.array(*[
+        F.struct(
+            F.lit(name).alias("license"),
+            F.array(*map(F.lit, own)).alias("own"),
+            F.lit(math.ceil(bounds(len(own), threshold)[0] - 1e-9)).alias("least"),
+            F.lit(int((len(plain_words(templates[name])) - 1) * (2 - threshold) / threshold + 1e-9)).alias("reach"),
+        )
+        for name, own in sets.items() if own
+    ])
+
+    # Most texts have no anchor, and of the others most share too few bigrams with every template.
+    texts = once(docs.select("doc_id", "text").filter(F.col("text") != ""), "low", F.lower("text"))
+    texts = texts.filter(reduce(lambda a, b: a | b, [may_hold(own, threshold) for own in sets.values() if own])).select("doc_id", "text")
+    clean = F.regexp_replace(ascii_lower(F.col("text")), "[^a-z0-9\\n]+", " ")
+    split = F.transform(F.split(clean, "\n", -1), lambda x: F.filter(F.split(x, " "), lambda w: w != ""))
+    texts = once(texts, "lines", split).select("doc_id", "lines")
+    texts = once(texts, "words", F.flatten("lines")).filter(F.size("words") > 1)
+    pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))
+    texts = once(texts, "grams", pairs).select("doc_id", "lines", "grams")
+    texts = once(texts, "shared", F.array_intersect("grams", vocabulary)).filter(F.size("shared") > 0)
+    texts = once(texts, "known", F.filter(known, lambda t: F.size(F.array_intersect("shared", t["own"])) >= t["least"])).filter(F.size("known") > 0)
+    texts = once(texts, "line_of", F.flatten(F.transform("lines", lambda x, i: F.transform(x, lambda _: i))))
+    places = F.filter(F.transform("grams", lambda g, i: F.struct(i.alias("i"), g.alias("g"))), lambda x: F.array_contains("shared", x["g"]))
+    texts = once(texts, "places", places)
+
+    def run(t: Column, near: Column, end: Column, j: Column) -> Column:
+        """The run from the first of these hits to the one at j."""
+        first = near[0]["i"]
+        common = F.size(F.array_distinct(F.transform(F.slice(near, 1, j + 1), lambda h: h["g"])))
+        n = F.size(F.array_distinct(F.slice("grams", first + 1, end["i"] - first + 1)))
+        return F.struct((-(F.lit(2.0) * common / (n + F.size(t["own"])))).alias("rest"), (-common).alias("common"), first.alias("first"), end["i"].alias("last"), t["license"].alias("license"))
+
+    def best_run(t: Column, near: Column) -> Column:
+        """The best run from the first of these hits; none if too few are left."""
+        enough = F.size(F.array_distinct(F.transform(near, lambda h: h["g"]))) >= t["least"]
+        ends = F.filter(F.transform(near, lambda e, j: F.when(j + 1 >= t["least"], run(t, near, e, j))), lambda r: r.isNotNull() & (r["rest"] <= -threshold))
+        return F.when(enough, F.array_min(ends))
+
+    def runs(t: Column, hits: Column) -> Column:
+        from_each = F.transform(hits, lambda h, k: let(F.filter(F.slice(hits, k + 1, t["reach"]), lambda x: x["i"] < h["i"] + t["reach"]), lambda near: best_run(t, near)))
+        return apart(F.array_sort(F.filter(from_each, lambda r: r.isNotNull())), "struct<rest:double,common:int,first:int,last:int,license:string>")
+
+    each = F.transform("known", lambda t: let(F.filter("places", lambda x: F.array_contains(t["own"], x["g"])), lambda hits: runs(t, hits)))
+    texts = once(texts, "runs", F.flatten(each)).filter(F.size("runs") > 0)
+
+    def told(words: Column) -> Column:
+        """The template that units() gives for a unit of these words, or null."""
+        scores = lambda g: F.transform("known", lambda t: F.struct((-(F.lit(2.0) * F.size(F.array_intersect(g, t["own"])) / (F.size(g) + F.size(t["own"])))).alias("rest"), t["license"].alias("license")))
+        return F.array_min(F.filter(let(bigrams(words), scores), lambda s: s["rest"] <= -threshold))["license"]
+
+    # A run of bigrams ends with the second word of the last one.
+    spans = F.transform("runs", lambda r: F.struct(F.get("line_of", r["first"]).alias("line"), F.get("line_of", r["last"] + 1).alias("end"), r.alias("r")))
+    texts = once(texts, "spans", spans)
+    touched = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["line"], s["end"]))))
+    texts = once(texts, "lines_told", F.transform(touched, lambda i: F.struct(i.alias("line"), told(F.get("lines", i)).alias("license"))))
+    texts = once(texts, "text_told", F.when(F.size("lines") > 1, told(F.flatten("lines"))))
+    known_of = lambda s: F.coalesce(F.col("text_told") == s["r"]["license"], F.lit(False)) | F.exists(
+        "lines_told", lambda x: x["line"].between(s["line"], s["end"]) & F.coalesce(x["license"] == s["r"]["license"], F.lit(False))
+    )
+    ranked = F.transform("spans", lambda s: F.struct((~known_of(s)).alias("new"), s["r"]["common"].alias("common"), s["r"]["rest"].alias("rest"), s["r"]["first"].alias("first"), s["r"]["last"].alias("last"), s["r"]["license"].alias("license"), s["line"].alias("line")))
+    kept = apart(F.array_sort(ranked), "struct<new:boolean,common:int,rest:double,first:int,last:int,license:string,line:int>")
+    found = texts.select("doc_id", F.explode(F.filter(kept, lambda x: x["new"])).alias("p"))
+    return found.select("doc_id", F.col("p.line").alias("line"), F.col("p.license").alias("license"), (-F.col("p.rest")).alias("dice"))

@@ -171,6 +171,22 @@ def test_license_scan(spark, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_licenses_within_other_text(spark):
+    import textwrap
+
+    wrapped = {name: textwrap.fill(text, 80) for name, text in license_scan.TEMPLATES.items() if len(text) > 150}
+    rows = [(i, f"{prose(300, i)}\n{text}\n\n{prose(40, 50 + i)}\n{prose(200, 90 + i)}") for i, text in enumerate(wrapped.values())]
+    notice = license_scan.TEMPLATES["gpl-3.0"]
+    rows += [(10, f"{prose(200, 7)} {notice} {prose(200, 8)}"), (11, f"{prose(90, 9)}\nLicensed under\nCC BY-NC\n4.0. {prose(90, 10)}"), (12, f"{prose(60, 11)} {notice} {prose(60, 12)} {notice}\n{notice}")]
+    rows += [(13, f"{prose(60, 13)} {license_scan.TEMPLATES['isc']} {prose(60, 14)}".replace("purpose", "any purpose")), (14, f"{prose(60, 15)}\nThis work is licensed under the GNU {prose(60, 16)}")]
+    found = sorted(tuple(r) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    one = [(i, 1, name, 1.0) for i, name in enumerate(wrapped)]
+    assert len(one) == 5
+    assert [x for x in found if x[0] != 13] == one + [(10, 0, "gpl-3.0", 1.0), (11, 1, "cc-by-nc-4.0", 1.0), (12, 0, "gpl-3.0", 1.0), (12, 0, "gpl-3.0", 1.0), (12, 1, "gpl-3.0", 1.0)]
+    ((_, line, license, dice),) = [x for x in found if x[0] == 13]
+    assert (line, license) == (0, "isc") and 0.9 < dice < 1
+
+
 def test_line_dedup(spark, empty):
     rows = [(i, f"own line {i}\n Shared LINE\n\nlast {i}", f"s{i % 6}") for i in range(12)] + [(20, None, "s0"), (21, "shared line", None), (22, "", "s1"), (12, "twice\ntwice", "s0")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_lines", F.lit("own"))
