@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,15 +14,24 @@ from poolwright.session import ship
 
 
 def _root(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    """The folder that driver and executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return (root or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch").rstrip("/")
 
 
 def drain(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there now and return what it wrote."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{_root(spark)}/{name}").trigger(availableNow=True).start()
+    """Run a stream over what is there now and return what it wrote: Parquet in the shared folder, nothing in the driver."""
+    name = f"{_root(spark)}/stream-{uuid.uuid4().hex}"
+    out, log = f"{name}/rows", f"{name}/log"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", out).start()
+    else:
+        spark.createDataFrame([], stream.schema).write.parquet(out)
+        # Every batch gives the whole result, so the last one stands.
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def membership(events: DataFrame) -> DataFrame:

@@ -120,3 +120,11 @@ def test_every_event_is_invoked(spark, tmp_path):
     want = {i: [(True, k * k), (k > 0, 1000 // k if k else None), (False, None)][i % 3] for i in range(n) for k in [i % 5]}
     found = QUERIES["rpc_invoke"](spark, str(tmp_path)).collect()
     assert len(found) == n and {r["event_id"]: (r["ok"], r["result"]) for r in found} == want
+
+
+def test_streams_leave_their_rows_in_files(spark, data):
+    from poolwright.plans.catalogue import QUERIES
+
+    for name in ("stream_membership", "stream_tumbling_counts", "stream_heartbeat_sessions"):
+        found = QUERIES[name](spark, data)
+        assert found.inputFiles() and found.count() > 0
