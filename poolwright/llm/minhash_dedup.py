@@ -4,9 +4,9 @@
    bins, empty bins filled from bins that a fixed random probe order names), 256 single bits of them and 51 band keys of five minima.
 2. Equal sets collapse to classes. In each bucket of a band every class meets two centres only, the one that meets most classes in all bands and the
    least (a star), if sizes and single bits allow the threshold. Pairs are confirmed on the full sets, and confirmed pairs give components.
-3. Stars can miss a link between classes of one bucket that are both far from its centres. So where buckets still hold several components,
-   every class outside their largest component is held against the other components' classes, in blocks of bounded size that give out links only.
-   After this, any two linked classes that share a bucket are in one component.
+3. Stars can miss a link between classes of one bucket that are both far from its centres. So where a bucket still holds several components,
+   every class outside its largest component is held against the other components' classes, in blocks of bounded size: first sizes and single bits
+   alone, then the full sets of the few classes that these leave. Blocks give out links only. After this, any two linked classes that share a bucket are in one component.
 
 At similarity 0.75 two sets share no bucket with probability (1 - 0.75 ** 5) ** 51, about 1e-6 (somewhat more for sets of few shingles).
 
@@ -34,8 +34,10 @@ SKETCHES, BINS = 4, 64
 ROWS, BANDS = 5, 51
 #: Single bits that may differ: 32 are expected at similarity 0.75, 5.3 is their deviation; small sets deviate more.
 MOST_BITS = 84
-#: Shingles in a block of classes that are held against those of another.
-SHINGLES = 200_000
+#: Classes in a block whose single bits are held against those of another, and shingles in a block whose sets are.
+CLASSES, SHINGLES = 2_000, 200_000
+#: Members of a centre that are confirmed in one place; a centre's text is sent once to each such place.
+MEMBERS = 500
 SIGNATURE = "doc_id long, n long, d0 long, d1 long, b0 long, b1 long, b2 long, b3 long, bands array<long>"
 
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64))
@@ -88,15 +90,18 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of rows (centre, member, text) in order: a centre's own row, without a member, comes before its members'."""
+    of = np.empty(0, np.uint64)
     for batch in batches:
-        a, b, texts_a, texts_b = batch.columns
-        ok, last, of = [], None, None
-        for i in range(len(batch)):
-            if (b_i := b[i].as_py()) != last:
-                last, of = b_i, shingle_set(texts_b[i].as_py(), WORDS)
-            if similar(shingle_set(texts_a[i].as_py(), WORDS), of, PERCENT):
-                ok.append(i)
-        yield pa.RecordBatch.from_arrays([a.take(pa.array(ok, pa.int64())), b.take(pa.array(ok, pa.int64()))], names=["a", "b"])
+        centres, members, texts = batch.columns
+        a, b = [], []
+        for centre, member, text in zip(centres.to_pylist(), members.to_pylist(), texts):
+            if member is None:
+                of = shingle_set(text.as_py(), WORDS)
+            elif similar(shingle_set(text.as_py(), WORDS), of, PERCENT):
+                a.append(min(centre, member))
+                b.append(max(centre, member))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def near(x: str, y: str) -> Column:
@@ -106,24 +111,37 @@ def near(x: str, y: str) -> Column:
     return (a * 100 >= b * PERCENT) & (b * 100 >= a * PERCENT) & (bits <= MOST_BITS)
 
 
-def pair(x: Column, y: Column) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def confirm(stars: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) among stars (doc_id, centre): full sets reach the threshold. texts: doc_id, text of all that occur.
 
-
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold. texts: doc_id, text of all that occur."""
-    pairs = scratch(pairs.distinct(), "near-pairs")
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return scratch(both.mapInArrow(_confirm, "a long, b long"), "near-links")
+    Members come to their centre, in places of MEMBERS or so; each place gets the centre's text once, in front, so no text is copied pair by pair.
+    """
+    stars = scratch(stars.distinct(), "near-pairs")
+    load = stars.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("places"))
+    load = scratch(load, "near-places")
+    member = stars.join(load, "centre").select("centre", F.pmod(F.hash("doc_id"), F.col("places")).alias("place"), F.col("doc_id").alias("member"), "doc_id").join(texts, "doc_id")
+    centre = load.select("centre", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(None).cast("long").alias("member"), F.col("centre").alias("doc_id")).join(texts, "doc_id")
+    rows = centre.unionByName(member).repartition("centre", "place").sortWithinPartitions("centre", "place", F.col("member").asc_nulls_first())
+    return scratch(rows.select("centre", "member", "text").mapInArrow(_confirm, "a long, b long"), "near-links")
+
+
+def _met(rows: DataFrame, keys: list[str], size: Column, block: int) -> tuple[DataFrame, DataFrame]:
+    """rows (with outside: whether it is out of its key's largest component), laid out so that each outside one meets every other of its key in one block (i, j)."""
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
+    sizes = rows.groupBy(*keys).agg(blocks(F.sum(size)).alias("all"), blocks(F.sum(F.when(F.col("outside"), size).otherwise(0))).alias("out"))
+    own = rows.join(scratch(sizes, "block-sizes"), keys)
+    place = lambda n: F.pmod(F.hash("doc_id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = own.filter("outside").withColumn("i", place("out")).withColumn("j", every("all")).drop("all", "out", "outside")
+    right = own.withColumn("i", every("out")).withColumn("j", place("all")).drop("all", "out", "outside")
+    return left, right
 
 
 def _missed(crowd: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between classes of different components that share a bucket.
 
-    The buckets that hold several components form families, one per largest component. Within a family each class outside that component is held
-    against all others, block against block: a block has SHINGLES shingles or so, its rows are in one task, and only links leave it.
+    In each bucket that holds several components, the classes outside its largest one meet all others: sizes and single bits say which of them may have
+    a link at all. Only these classes' texts are fetched. They meet by family (the buckets of one largest component), so that no pair is confirmed in every bucket.
     """
     figures = ["n", "b0", "b1", "b2", "b3"]
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
@@ -132,24 +150,28 @@ def _missed(crowd: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     placed = scratch(placed.select("band", "doc_id", *figures, F.coalesce("label", "doc_id").alias("label"), F.coalesce("members", F.lit(1)).alias("members")), "placed")
     mixed = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("members", "label")).alias("largest"))
     mixed = scratch(mixed.filter("low <> high").select("band", F.col("largest.label").alias("family")), "mixed")
-    family = scratch(placed.join(mixed, "band").select("family", "doc_id", "label", *figures).distinct(), "families")
-    outside = F.col("label") != F.col("family")
-    blocks = lambda n: F.ceil(n / SHINGLES).cast("int")
-    size = family.groupBy("family").agg(blocks(F.sum("n")).alias("all"), blocks(F.sum(F.when(outside, F.col("n")))).alias("out"))
-    own = family.join(scratch(size, "family-sizes"), "family")
-    place = lambda n: F.pmod(F.hash("doc_id"), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = own.filter(outside).select("family", place("out").alias("i"), every("all").alias("j"), F.lit(True).alias("left"), "doc_id", "label", *figures)
-    right = own.select("family", every("out").alias("i"), place("all").alias("j"), F.lit(False).alias("left"), "doc_id", "label", *figures)
-    rows = scratch(left.unionByName(right), "blocks").join(texts, "doc_id")
+    apart = placed.join(mixed, "band").select("band", "family", "doc_id", "label", *figures, (F.col("label") != F.col("family")).alias("outside"))
+    apart = scratch(apart, "apart")
+
+    left, right = _met(apart.drop("family"), ["band"], F.lit(1), CLASSES)
+    left = left.select("band", "i", "j", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "label", *figures)])
+    right = right.select("band", "i", "j", *[F.col(c).alias(f"y_{c}") for c in ("doc_id", "label", *figures)])
+    pairs = left.join(right, ["band", "i", "j"]).filter(F.col("x_label") != F.col("y_label")).filter(near("x_", "y_"))
+    hopeful = scratch(pairs.select(F.explode(F.array("x_doc_id", "y_doc_id")).alias("doc_id")).distinct(), "hopeful")
+
+    family = scratch(apart.join(hopeful, "doc_id", "left_semi").drop("band").distinct(), "families")
+    left, right = _met(family, ["family"], F.col("n"), SHINGLES)
+    rows = left.withColumn("left", F.lit(True)).unionByName(right.withColumn("left", F.lit(False)))
+    rows = scratch(rows, "blocks").join(texts, "doc_id")
     return scratch(rows.groupBy("family", "i", "j").applyInArrow(_compare, "a long, b long").distinct(), "missed-links")
 
 
 def _compare(block: pa.Table) -> pa.Table:
-    """Links between the left rows of a block and its other rows of different label."""
+    """Links between the left rows of a block and its other rows of different label, one at least for each two labels that have any."""
     ids, labels, n = (block.column(c).to_numpy() for c in ("doc_id", "label", "n"))
     left = block.column("left").to_numpy()
-    bits = np.stack([block.column(f"b{k}").to_numpy() for k in range(4)], axis=1)
+    # Unsigned: the bits of a negative number would be counted of its absolute value.
+    bits = np.stack([block.column(f"b{k}").to_numpy() for k in range(4)], axis=1).view(np.uint64)
     sets: dict[int, np.ndarray] = {}
 
     def shingles(i: int) -> np.ndarray:
@@ -157,14 +179,15 @@ def _compare(block: pa.Table) -> pa.Table:
             sets[i] = shingle_set(block.column("text")[i].as_py(), WORDS)
         return sets[i]
 
-    right, found = np.flatnonzero(~left), []
+    right, found = np.flatnonzero(~left), {}
     for i in np.flatnonzero(left):
         differ = np.bitwise_count(bits[right] ^ bits[i]).sum(axis=1, dtype=np.int64)
         fits = (labels[right] != labels[i]) & (n[right] * 100 >= n[i] * PERCENT) & (n[i] * 100 >= n[right] * PERCENT) & (differ <= MOST_BITS)
         for j in right[fits]:
-            if similar(shingles(int(i)), shingles(int(j)), PERCENT):
-                found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-    a, b = zip(*found) if found else ((), ())
+            two = (min(labels[i], labels[j]), max(labels[i], labels[j]))
+            if two not in found and similar(shingles(int(i)), shingles(int(j)), PERCENT):
+                found[two] = (min(ids[i], ids[j]), max(ids[i], ids[j]))
+    a, b = zip(*found.values()) if found else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -191,7 +214,6 @@ def near_components(docs: DataFrame) -> DataFrame:
     met = crowd.join(scratch(centres.select("band", *named), "centres"), "band")
     to = F.array(*[F.when((F.col("doc_id") != F.col(f"{c}doc_id")) & near("", c), F.col(f"{c}doc_id")) for c in ("m_", "l_")])
     stars = met.filter(F.exists(to, lambda x: x.isNotNull())).select("doc_id", F.explode(F.array_compact(to)).alias("centre"))
-    stars = stars.select(*pair(F.col("doc_id"), F.col("centre")))
 
     # Texts of the classes that share a bucket with any other, fetched once.
     texts = scratch(keep_matching(source, central), "near-texts")
