@@ -41,12 +41,16 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def unseen(self, groups: DataFrame) -> DataFrame:
+        """Groups whose digest the index lacks. Groups are written first: Catalyst would push the anti-join below their aggregation, where a frequent digest's rows all meet."""
+        return scratch(groups, "digest-groups").join(self.table().select("digest").hint("merge"), "digest", "left_anti")
+
     def add(self, groups: DataFrame, batch: str) -> None:
         """Append the groups whose digest no earlier batch has. A batch that was appended before is left as it is, so a rerun is harmless."""
         index = self.table()
         if index.filter(F.col("batch") == batch).limit(1).count():
             return
-        new = groups.join(index.select("digest").hint("merge"), "digest", "left_anti")
+        new = self.unseen(groups)
         new = new.select("digest", "keep_id", "group_size", F.lit(batch).alias("batch"))
         # One file per bucket: the exchange hashes as the buckets do.
         new.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name)
