@@ -7,7 +7,8 @@ finds, and joins the ledger's spans back to all paths that hold the blob.
 Rules: the three base kinds (assign, access, hex), and two that the operator adds (pem: a private key's first line; jwt: a signed web token).
 
 Defined cases: a null text is the empty text; rows that share a doc_id are versions of one path and each gets its own result; a null doc_id is a path; equal
-texts are scanned once; an empty table gives an empty result; offsets count code points, ends are exclusive; further columns are ignored.
+texts are scanned once; very long texts are scanned whole, in one task each; a pair that the ledger has twice counts once; an empty table gives an empty result;
+offsets count code points, ends are exclusive; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -115,11 +116,14 @@ def scan(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...]
     spans = find(texts.select("blob", "text", "todo").dropDuplicates(["blob"]) if _shared(paths) else texts, rules)
     scanned = todo.select(F.col("todo_blob").alias("blob"), F.col("todo").alias("rules")).join(spans, "blob", "left")
     scanned.write.mode("append").parquet(ledger.path)
-    # Of a ledger row, only the spans of rule versions that are current count.
+    # Of a ledger row, only the spans of rule versions that are current count. Two scans at once may both have appended a pair's spans: they are equal, and count once.
     current = ledger.table().withColumn("rules", F.array_intersect("rules", F.array(*map(F.lit, labels))))
     valid = F.filter("spans", lambda s: F.exists("rules", lambda r: F.substring_index(r, "@", 1) == s["kind"]))
-    current = current.select("blob", valid.alias("spans")).filter(F.size("spans") > 0)
-    current = current.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    kinds, bases = F.array(*[F.lit(r.kind) for r in rules]), F.array(*[F.lit(r.base) for r in rules])
+    rank = lambda s: (F.array_position(kinds, s["kind"]) - 1).cast("int")
+    ranked = F.transform(valid, lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["kind"].alias("kind"), s["stop"].alias("stop"), F.get(bases, rank(s)).alias("base")))
+    current = current.select("blob", ranked.alias("spans")).filter(F.size("spans") > 0)
+    current = current.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     current = scratch(current, "findings")
     none = F.array().cast("array<struct<start:long,rank:int,kind:string,stop:long,base:boolean>>")
     return paths.join(current, "blob", "left").withColumn("spans", F.coalesce("spans", none))
