@@ -9,7 +9,8 @@
 
 Labels, lang, source and doc_id are never inputs. Defined cases: null and blank texts are scored as an empty document; a doc_id with several labels counts by
 its largest; labels that are null or without document are ignored; without labels of both kinds the score is the (smoothed) share of label 1; a null doc_id is not
-held out; repeated rows get equal scores; an empty table gives an empty result; further columns pass through the stage.
+held out; repeated rows get equal scores, and an id on several rows is learned from once (the greatest of its pooled rows); very long texts are pooled piece by piece;
+an empty table gives an empty result; further columns pass through the stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -226,8 +227,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
     known = known.filter(~held_out(F.col("key")))
     share = min(1.0, max_train / max(known.count(), 1))
     some = known.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    # At most about max_train ids, by the filter above.
-    rows = docs.join(F.broadcast(some), docs["doc_id"] == some["key"]).select(F.col("key"), F.col("y").cast("int").alias("y"), docs["text"])
+    # At most about max_train ids, by the filter above. Columns are taken from docs before the join: docs may have a key or y of its own.
+    own = docs.select(F.col("doc_id").alias("own_id"), F.col("text").alias("own_text"))
+    rows = own.join(F.broadcast(some), F.col("own_id") == F.col("key")).select("key", F.col("y").cast("int").alias("y"), "own_text")
     kept = docs.sparkSession.sparkContext.broadcast(table)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +238,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * 2 * DIMS), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), flat], names=["key", "y", "x"])
 
-    got = rows.mapInArrow(pool, "key long, y int, x array<double>").toPandas().sort_values(["key"], kind="stable")
+    # One row an id, whatever number of rows has it, so what is collected stays within max_train or so.
+    each = rows.mapInArrow(pool, "key long, y int, x array<double>").groupBy("key").agg(F.max(F.struct("y", "x")).alias("best"))
+    got = each.select("key", "best.y", "best.x").toPandas().sort_values(["key"], kind="stable")
     x = np.array(got["x"].tolist()) if len(got) else np.zeros((0, 2 * DIMS))
     order = np.random.default_rng(11).permutation(len(got))
     return table, fit(x[order], got["y"].to_numpy()[order])
