@@ -176,8 +176,11 @@ class Lattice:
             for i in source[states[total < 1e-150]]:
                 # Only ratios within a piece's reach matter from here on.
                 beta[i : min(i + vocabulary.longest + 1, ends[i])] *= 1e150
-        upto = np.cumsum(self.q)
-        self.upto = upto - np.repeat(np.r_[0.0, upto][first], count)
+        # Summed state by state, so that a sum does not depend on what else is in the lattice.
+        self.upto = self.q.copy()
+        for k in range(1, int(count.max(initial=1))):
+            nth = first[count > k] + k
+            self.upto[nth] += self.upto[nth - 1]
         self.upto[first + count - 1] = 2.0
         self.only = np.zeros(len(source), bool)
         self.only[first[count == 1]] = True
@@ -246,10 +249,12 @@ class _Path:
         log_q = np.log(q)
         with np.errstate(divide="ignore"):
             log_rest = np.where(lattice.only[self.t], -np.inf, np.log(np.maximum(1 - q, 0)))
-        total = np.cumsum(log_q)
-        base = np.r_[0.0, total][self.starts]
-        self.before = total - log_q - base[row]
-        self.log_p = np.r_[0.0, total][self.ends] - base
+        # Summed row by row, for the same result whatever rows are sampled together.
+        self.before, self.log_p = np.zeros(len(row)), np.zeros(len(counts))
+        for i in np.flatnonzero(counts):
+            total = np.cumsum(log_q[self.starts[i] : self.ends[i]])
+            self.before[self.starts[i] + 1 : self.ends[i]] = total[:-1]
+            self.log_p[i] = total[-1]
         place = np.arange(len(row)) - self.starts[row]
         mass = np.where(place >= open_from[row], self.before + log_rest, -np.inf)
         self.rest = truncated(mass, best[row], uniform(keys[row] ^ np.uint64(salt), place))
