@@ -2,8 +2,8 @@
 
 Units are each line of a document, and the whole document if it has several lines. Text is normalised to lower-case ASCII words. A template can reach
 the threshold t only if the unit's number of bigrams lies within [n * t / (2 - t), n * (2 - t) / t], so other templates are
-pruned by size before any set is built, and units outside all bounds never build theirs. Templates are a fixed list, so
-everything happens in two passes over the texts, without a shuffle.
+pruned by size before any set is built, and units outside all bounds never build theirs. Before all this, texts go that lack words which every text
+near some template has (anchors). Templates are a fixed list, so everything happens in two passes over the texts, without a shuffle.
 
 A template may also lie over several lines of a longer document, or within a longer line. passages() finds it wherever it is: in the words of the whole document,
 it takes the runs that start and end on a bigram of the template (any other run is bettered by cutting its ends off) and have at most (2 - t) / t times the template's words.
@@ -11,7 +11,7 @@ Of runs of one template that overlap the one with the greatest Dice stays, of th
 for each that no unit has told of: its line is the one on which it starts.
 
 Defined cases: null and empty texts match nothing; a unit of one word has no bigram and matches nothing; of templates with equal Dice the first by name wins; repeated rows
-give repeated results; an empty table gives an empty result; further columns are ignored.
+give repeated results; very long texts are scanned whole, in one task each; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -76,7 +76,7 @@ def units(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: flo
     vocabulary = F.array(*[F.lit(x) for x in sorted(set().union(*sets.values()))])
     # Runs of other characters part words, and so does either end of a unit.
     clean = F.regexp_replace(ascii_lower(F.col("text")), "[^a-z0-9\\n]+", " ")
-    texts = once(docs.select("doc_id", "text").filter(F.col("text") != ""), "clean", clean).select("doc_id", "clean")
+    texts = once(likely(docs, sets, threshold), "clean", clean).select("doc_id", "clean")
     texts = once(texts, "lines", F.transform(F.split("clean", "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("unit"))))
     whole = F.array(F.struct(F.lit(-1).alias("line"), F.translate("clean", "\n", " ").alias("unit")))
     units = texts.select("doc_id", F.inline(F.when(F.size("lines") > 1, F.concat("lines", whole)).otherwise(F.col("lines"))))
@@ -109,7 +109,7 @@ def anchors(grams: list[str], threshold: float) -> list[list[str]]:
     spare = len(grams) - math.ceil(bounds(len(grams), threshold)[0] - 1e-9)
     held = {w: {g for g in grams if w in g.split(" ")} for w in sorted({w for g in grams for w in g.split(" ")}, reverse=True)}
     out = [[w] for w in held if len(held[w]) > spare]
-    for order in (lambda w: -len(held[w]) * len(w) * (len(w) > 3), lambda w: (-len(held[w]), -len(w))):
+    for order in (lambda w: -len(held[w]) * len(w) * (len(w) > 4), lambda w: (-len(held[w]), -len(w))):
         left, group, taken = set(grams), [], 0
         for word in sorted(held, key=order):
             own = held[word] & left
@@ -121,9 +121,23 @@ def anchors(grams: list[str], threshold: float) -> list[list[str]]:
 
 
 def may_hold(grams: list[str], threshold: float) -> Column:
-    """Whether a text, also given in lower case as column low, has what anchors() asks for. Short words are looked for as whole words."""
-    has = lambda w: F.contains("low", F.lit(w)) if len(w) > 3 else F.rlike("text", F.lit(f"(?i)(?<![a-z0-9]){w}(?![a-z0-9])"))
-    return reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, map(has, group)) for group in anchors(grams, threshold)])
+    """Whether a text, given in lower case as column low, has what anchors() asks for. Words are looked for as parts of others first, which is cheap; short ones then by themselves."""
+    part = lambda w: F.contains("low", w if isinstance(w, Column) else F.lit(w))
+    whole = lambda w: part(w) & F.rlike("low", F.lit(f"(?<![a-z0-9]){w}(?![a-z0-9])"))
+    each, short = anchors(grams, threshold), lambda group: min(map(len, group)) < 4
+    tests = [[part(w) for w in group] for group in each] + [[whole(w) if len(w) < 4 else part(w) for w in group] for group in each if short(group)]
+    anchored = reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, words) for words in tests])
+    # Then as many bigrams as are shared at least have both their words in the text.
+    words = F.filter(F.array(*[F.lit(w) for w in sorted({w for g in grams for w in g.split(" ")})]), part)
+    pairs = F.array(*[F.array(*map(F.lit, g.split(" "))) for g in grams])
+    both = let(words, lambda held: F.size(F.filter(pairs, lambda g: F.array_contains(held, g[0]) & F.array_contains(held, g[1]))))
+    return anchored & (both >= math.ceil(bounds(len(grams), threshold)[0] - 1e-9))
+
+
+def likely(docs: DataFrame, sets: dict[str, list[str]], threshold: float) -> DataFrame:
+    """(doc_id, text) of the texts that can hold some template, whole or in part: most have some template's anchors nowhere, and go unread by what follows."""
+    texts = once(docs.select("doc_id", "text").filter(F.col("text") != ""), "low", F.lower("text"))
+    return texts.filter(reduce(lambda a, b: a | b, [may_hold(own, threshold) for own in sets.values() if own])).select("doc_id", "text")
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -151,9 +165,8 @@ def passages(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold:
         for name, own in sets.items() if own
     ])
 
-    # Most texts have no anchor, and of the others most share too few bigrams with every template.
-    texts = once(docs.select("doc_id", "text").filter(F.col("text") != ""), "low", F.lower("text"))
-    texts = texts.filter(reduce(lambda a, b: a | b, [may_hold(own, threshold) for own in sets.values() if own])).select("doc_id", "text")
+    # Of the texts that have a template's anchors most share too few bigrams with it.
+    texts = likely(docs, sets, threshold)
     clean = F.regexp_replace(ascii_lower(F.col("text")), "[^a-z0-9\\n]+", " ")
     split = F.transform(F.split(clean, "\n", -1), lambda x: F.filter(F.split(x, " "), lambda w: w != ""))
     texts = once(texts, "lines", split).select("doc_id", "lines")
@@ -186,17 +199,17 @@ def passages(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold:
     each = F.transform("known", lambda t: let(F.filter("places", lambda x: F.array_contains(t["own"], x["g"])), lambda hits: runs(t, hits)))
     texts = once(texts, "runs", F.flatten(each)).filter(F.size("runs") > 0)
 
-    def told(words: Column) -> Column:
-        """The template that units() gives for a unit of these words, or null."""
+    def told(grams: Column) -> Column:
+        """The template that units() gives for a unit of these distinct bigrams, or null."""
         scores = lambda g: F.transform("known", lambda t: F.struct((-(F.lit(2.0) * F.size(F.array_intersect(g, t["own"])) / (F.size(g) + F.size(t["own"])))).alias("rest"), t["license"].alias("license")))
-        return F.array_min(F.filter(let(bigrams(words), scores), lambda s: s["rest"] <= -threshold))["license"]
+        return F.array_min(F.filter(let(grams, scores), lambda s: s["rest"] <= -threshold))["license"]
 
     # A run of bigrams ends with the second word of the last one.
     spans = F.transform("runs", lambda r: F.struct(F.get("line_of", r["first"]).alias("line"), F.get("line_of", r["last"] + 1).alias("end"), r.alias("r")))
     texts = once(texts, "spans", spans)
     touched = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["line"], s["end"]))))
-    texts = once(texts, "lines_told", F.transform(touched, lambda i: F.struct(i.alias("line"), told(F.get("lines", i)).alias("license"))))
-    texts = once(texts, "text_told", F.when(F.size("lines") > 1, told(F.flatten("lines"))))
+    texts = once(texts, "lines_told", F.transform(touched, lambda i: F.struct(i.alias("line"), let(F.get("lines", i), lambda words: told(bigrams(words))).alias("license"))))
+    texts = once(texts, "text_told", F.when(F.size("lines") > 1, told(F.array_distinct("grams"))))
     known_of = lambda s: F.coalesce(F.col("text_told") == s["r"]["license"], F.lit(False)) | F.exists(
         "lines_told", lambda x: x["line"].between(s["line"], s["end"]) & F.coalesce(x["license"] == s["r"]["license"], F.lit(False))
     )
