@@ -104,6 +104,11 @@ def align(x: Column, to: int) -> Column:
     return (x + (to - 1)).bitwiseAND(F.lit(~(to - 1)))
 
 
+def drawn(seed: str, *columns: str) -> Column:
+    """A random order that a seed fixes: sorting by it and taking the first n draws n rows without replacement."""
+    return F.md5(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in columns]).cast("binary"))
+
+
 def address_score(address: Column) -> Column:
     """Preference of an IPv4 address: global 2, site-local 4, link-local 6, loopback 8; less is better."""
     return F.when(address.startswith("127."), 8).when(address.startswith("169.254."), 6).when(address.rlike(r"^(10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)"), 4).otherwise(2).cast("long")

@@ -6,30 +6,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from poolwright.operators import ordered
+
 
 def admit(requests: DataFrame, ports: DataFrame) -> DataFrame:
-    """Outcome of each request (port, seq, sender, type) against its port (port, type, enabled, many): the first rule that applies."""
-    r, p = requests.alias("r"), ports.alias("p")
-    both = r.join(p, "port", "left")
-    w = W.partitionBy("port", "sender").orderBy("seq")
-    first = W.partitionBy("port").orderBy("seq")
-    both = both.withColumn("again", F.row_number().over(w) > 1).withColumn("place", F.row_number().over(first))
+    """Outcome of each request (port, seq, sender, type, granted) against its port (port, type, enabled, many): the first rule that applies.
+
+    Only an accepted request makes a connection. granted is what the port's owner says when asked, which is the last rule. As nothing is closed here, the first
+    request that no earlier connection can stand against is the one accepted: of its sender, or of the whole port where it takes one connection only.
+    """
+    both = requests.withColumnRenamed("type", "asked").join(ports, "port", "left")
+    fits = F.coalesce((F.col("asked") == F.col("type")) & F.col("enabled") & F.col("granted"), F.lit(False))
+    both = both.withColumn("fit", F.when(fits, F.col("seq")))
+    of_sender = both.groupBy("port", "sender").agg(F.min("fit").alias("since"))
+    of_port = both.groupBy("port").agg(F.min("fit").alias("taken"))
+    both = both.join(of_sender, ["port", "sender"]).join(of_port, "port")
+    connected = F.when(F.col("many") | (F.col("since") == F.col("taken")), F.col("since"))
     outcome = (
         F.when(F.col("enabled").isNull(), "NOT_PRESENT")
-        .when(F.col("again"), "ALREADY_CONNECTED")
-        .when(F.col("r.type") != F.col("p.type"), "TYPE_MISMATCH")
+        .when(F.col("seq") > connected, "ALREADY_CONNECTED")
+        .when(F.col("asked") != F.col("type"), "TYPE_MISMATCH")
         .when(~F.col("enabled"), "DISABLED")
-        .when(~F.col("many") & (F.col("place") > 1), "NO_MANY_TO_X")
+        .when(~F.col("many") & (F.col("seq") > F.col("taken")), "NO_MANY_TO_X")
+        .when(~F.col("granted"), "DENIED")
         .otherwise("ACCEPTED")
     )
     return both.select("port", "seq", "sender", outcome.alias("outcome"))
 
 
+def connected_to(steps: DataFrame) -> DataFrame:
+    """(a, peers): to how many each a is connected after connect (1) and disconnect (0) steps (a, b, time, on); none if it is connected to nobody."""
+    last = steps.groupBy("a", "b").agg(F.max_by("on", "time").alias("on"))
+    return last.groupBy("a").agg(F.count_if(F.col("on") == 1).alias("peers"))
+
+
 def round_robin(messages: DataFrame, port: str, sender: str, order: str) -> DataFrame:
     """Delivery order at a port that takes one message of each sender in turn; within a sender the order of sending holds."""
     turn = F.row_number().over(W.partitionBy(port, sender).orderBy(order))
-    turned = messages.withColumn("_turn", turn)
-    return turned.withColumn("delivery", F.row_number().over(W.partitionBy(port).orderBy("_turn", sender)).cast("long") - 1).drop("_turn")
+    return ordered.ranked(messages.withColumn("_turn", turn), [port], ["_turn", sender], "delivery").drop("_turn")
 
 
 def fragments(texts: DataFrame, key: str, text: str, size: int) -> DataFrame:

@@ -1,6 +1,7 @@
 """The pool event log: logical clock, effective membership, ranges and gaps, purging, bootstrap, elections, latches.
 
-A log has the columns pool, time (dense from 0 within the pool), kind, member, name. Windows are partitioned by pool or finer.
+A log has the columns pool, time (dense from 0 within the pool), kind, member, name. Windows are partitioned by member or name within the pool; what follows a
+whole pool in order is spread over range partitions (ordered.py), so one pool of all events uses all tasks.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from poolwright.operators import ordered
+
 JOINED, GONE = ("JOIN",), ("LEAVE", "DIED")
 
 
 def clock(events: DataFrame, order: str = "event_id") -> DataFrame:
     """Add the dense logical clock of each pool, from 0."""
-    return events.withColumn("time", F.row_number().over(W.partitionBy("pool").orderBy(order)).cast("long") - 1)
+    return ordered.ranked(events, ["pool"], [order], "time")
 
 
 def transitions(log: DataFrame) -> DataFrame:
@@ -32,21 +35,22 @@ def transitions(log: DataFrame) -> DataFrame:
 
 
 def size_history(log: DataFrame) -> DataFrame:
-    """The step function (pool, time, size) of a pool's size; equal successive sizes collapse."""
-    return compact(transitions(log).withColumn("size", F.sum("delta").over(W.partitionBy("pool").orderBy("time"))).select("pool", "time", "size"), ["pool"], "time", "size")
+    """The step function (pool, time, size) of a pool's size. Every transition changes it by one, so successive sizes differ."""
+    return ordered.running(transitions(log).select("pool", "time", "delta"), ["pool"], ["time"], F.col("delta"), "size").select("pool", "time", "size")
 
 
 def compact(series: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
     """Change points of a step function."""
-    before = F.lag(value).over(W.partitionBy(*keys).orderBy(time))
-    return series.withColumn("_before", before).filter(~F.col(value).eqNullSafe(F.col("_before"))).drop("_before")
+    out = ordered.neighbour(series.withColumn("_known", F.lit(True)), keys, [time], value, "_before", -1)
+    out = ordered.neighbour(out, keys, [time], "_known", "_inner", -1)
+    return out.filter(F.col("_inner").isNull() | ~F.col(value).eqNullSafe(F.col("_before"))).drop("_before", "_known", "_inner")
 
 
 def contiguous(log: DataFrame, start: int) -> DataFrame:
     """Events from start on, up to the first gap in each pool's times (nothing if the first event is missing, unlike later ones)."""
-    island = F.col("time") - F.row_number().over(W.partitionBy("pool").orderBy("time"))
-    first = F.first("island").over(W.partitionBy("pool").orderBy("time"))
-    return log.filter(F.col("time") >= start).withColumn("island", island).withColumn("first", first).filter("island = first").drop("island", "first")
+    ranks = ordered.ranked(log.filter(F.col("time") >= start), ["pool"], ["time"], "_rank")
+    first = ranks.groupBy("pool").agg(F.min("time").alias("_first"))
+    return ranks.join(first, "pool").filter(F.col("time") - F.col("_rank") == F.col("_first")).drop("_rank", "_first")
 
 
 def next_required(log: DataFrame, start: int) -> DataFrame:
@@ -72,17 +76,15 @@ def bootstrap(*parts: DataFrame) -> DataFrame:
     return out.groupBy("pool", "time").agg(F.min(F.struct("kind", "member")).alias("event")).select("pool", "time", "event.kind", "event.member")
 
 
-def numbered(rows: DataFrame, keys: list[str], order: str, name: str = "number") -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], *order: str, name: str = "number") -> DataFrame:
     """Sequence numbers from 0 within keys."""
-    return rows.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(order)).cast("long") - 1)
+    return ordered.ranked(rows, keys, list(order), name)
 
 
 def balance(steps: DataFrame, keys: list[str], order: str, delta: Column) -> DataFrame:
     """A counter that never falls below 0: a get from an empty one changes nothing. The running sum less its least value so far, if negative."""
-    w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    summed = steps.withColumn("_sum", F.sum(delta).over(w))
-    floor = F.least(F.lit(0), F.min("_sum").over(w))
-    return summed.withColumn("balance", (F.col("_sum") - floor).cast("long")).drop("_sum")
+    summed = ordered.running(steps, keys, [order], delta, "_total", low="_least")
+    return summed.withColumn("balance", F.col("_total") - F.least(F.lit(0), F.col("_least"))).drop("_total", "_least")
 
 
 def elections(log: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from poolwright.operators import ordered
 
 
 def grid(bounds: DataFrame, points: int = 100) -> DataFrame:
@@ -16,14 +17,12 @@ def grid(bounds: DataFrame, points: int = 100) -> DataFrame:
 def as_of(probes: DataFrame, series: DataFrame, key: str, time: str = "t", value: str = "value") -> DataFrame:
     """probes with the series' last value at or before their time; -1 before the first point and from the last point on, where it is unknown.
 
-    One sort per key: probes and points are put in one line, and the last point before each probe is carried along.
+    Probes and points are put in one line, and the last point before each probe is carried along.
     """
-    w = W.partitionBy(key).orderBy(F.col(time), F.col("_probe")).rowsBetween(W.unboundedPreceding, 0)
     points = series.select(key, time, F.col(value).cast("long").alias("_v"), F.lit(0).alias("_probe"))
     asked = probes.select(key, time, F.lit(None).cast("long").alias("_v"), F.lit(1).alias("_probe"))
-    line = points.unionByName(asked).withColumn("_last", F.last("_v", ignorenulls=True).over(w))
-    last = F.max(F.when(F.col("_probe") == 0, F.col(time))).over(W.partitionBy(key))
-    line = line.withColumn("_end", last).filter("_probe = 1")
+    line = ordered.carried(points.unionByName(asked), [key], [time, "_probe"], "_v", "_last").filter("_probe = 1")
+    line = line.join(series.groupBy(key).agg(F.max(time).alias("_end")), key, "left")
     known = F.col("_last").isNotNull() & (F.col(time) < F.col("_end"))
     return line.select(key, time, F.when(known, F.col("_last")).otherwise(-1).cast("long").alias("value"))
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from poolwright.functions import scalars as S
+from poolwright.operators import ordered
 from poolwright.plans.registry import Registry
 from poolwright.sources.tables import BASE, event_log, read
 
@@ -28,8 +28,8 @@ def location_levels(spark, d):
 
 @query(f"WITH {PLACES}, q AS (SELECT *, lead(r_name) OVER w AS r2, lead(n_name) OVER w AS n2, lead(c_name) OVER w AS c2 FROM p WINDOW w AS (PARTITION BY c_custkey % 10 ORDER BY c_custkey)) SELECT c_custkey, (CASE WHEN r_name <> r2 THEN 0 WHEN n_name <> n2 THEN 1 WHEN c_name <> c2 THEN 2 ELSE 3 END)::BIGINT AS matching FROM q WHERE r2 IS NOT NULL")
 def location_matching_levels(spark, d):
-    next_ = F.lead("loc").over(W.partitionBy(F.col("c_custkey") % 10).orderBy("c_custkey"))
-    pairs = _places(spark, d).withColumn("other", next_).filter("other is not null")
+    places = _places(spark, d).withColumn("ring", F.col("c_custkey") % 10)
+    pairs = ordered.neighbour(places, ["ring"], ["c_custkey"], "loc", "other", 1).filter("other is not null")
     return pairs.select("c_custkey", S.matching_levels(S.levels(F.col("loc")), S.levels(F.col("other"))).alias("matching"))
 
 
@@ -38,18 +38,18 @@ def location_sort_ring(spark, d):
     # In each region, sorted by coarse to fine levels, the one after the region's first customer divisible by 7 comes first.
     parts = S.levels(F.col("loc"))
     placed = _places(spark, d).select("c_custkey", F.get(parts, F.lit(2)).alias("region"), F.reverse(parts).alias("key"))
-    w = W.partitionBy("region")
-    placed = placed.withColumn("k", F.row_number().over(w.orderBy("key")).cast("long")).withColumn("n", F.count(F.lit(1)).over(w))
-    placed = placed.withColumn("mine", F.min(F.when(F.col("c_custkey") % 7 == 0, F.col("k"))).over(w)).filter("mine is not null")
+    placed = ordered.ranked(placed, ["region"], ["key"], "k")
+    rings = placed.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("c_custkey") % 7 == 0, F.col("k"))).alias("mine"))
+    placed = placed.join(rings, "region").filter("mine is not null")
     return placed.select("c_custkey", ((F.col("k") - F.col("mine") - 1 + F.col("n")) % F.col("n")).alias("place"))
 
 
-CAPS = BASE + ", c AS (SELECT member, list_sort(list_distinct(list(lower(kind)))) AS caps FROM log WHERE k > 80 GROUP BY member) "
+CAPS = BASE + ", c AS (SELECT member, list_sort(list_distinct(list(lower(kind)))) AS caps FROM log GROUP BY member) "
 
 
 @query(CAPS + "SELECT member, array_to_string(caps, ',') AS caps, list_contains(caps, 'join') AS can_join, list_has_all(caps, ['elect', 'signal']) AS matched, array_to_string(list_filter(['elect', 'signal'], lambda x: NOT list_contains(caps, x)), ',') AS unmatched, len(list_filter(caps, lambda x: starts_with(x, 'e'))) AS with_e FROM c")
 def capability_match(spark, d):
-    caps = event_log(spark, d).filter("k > 80").groupBy("member").agg(S.capabilities(F.collect_set("kind")).alias("caps"))
+    caps = event_log(spark, d).groupBy("member").agg(S.capabilities(F.collect_set("kind")).alias("caps"))
     wanted, held = F.array(F.lit("elect"), F.lit("signal")), F.col("caps")
     return caps.select(
         "member",
@@ -70,7 +70,7 @@ SELECT c.member, count(impl) AS n, CASE WHEN count(impl) = 0 THEN 'ERROR' WHEN c
 def implementation_select(spark, d):
     # Three implementations with what they offer; the default is tcp.
     offers = {"tcp": ["join", "elect", "signal"], "multi": ["join", "leave", "died", "elect", "signal"], "nio": ["elect", "signal"]}
-    caps = event_log(spark, d).filter("k > 80").groupBy("member").agg(S.capabilities(F.collect_set("kind")).alias("caps"))
+    caps = event_log(spark, d).groupBy("member").agg(S.capabilities(F.collect_set("kind")).alias("caps"))
     fits = F.array_compact(F.array(*[F.when(S.matches(F.col("caps"), F.array(*map(F.lit, o))), F.lit(i)) for i, o in offers.items()]))
     n = F.size(fits)
     chosen = F.when(n == 0, "ERROR").when(n == 1, F.get(fits, F.lit(0))).when(F.array_contains(fits, "tcp"), "tcp").otherwise("AMBIGUOUS")
@@ -83,7 +83,7 @@ VEC = "e AS (SELECT vec_id, [embedding[1]::DOUBLE, embedding[2]::DOUBLE, embeddi
 def _coordinates(spark, d):
     first = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
     points = read(spark, d, "embeddings").select("vec_id", first.alias("a"))
-    return points.withColumn("b", F.lead("a").over(W.partitionBy(F.col("vec_id") % 8).orderBy("vec_id"))).filter("b is not null")
+    return ordered.neighbour(points.withColumn("ring", F.col("vec_id") % 8), ["ring"], ["vec_id"], "a", "b", 1).filter("b is not null")
 
 
 @query(f"WITH {VEC} SELECT vec_id, round(gap, 9) AS distance, round(sqrt(a[1]*a[1] + a[2]*a[2] + a[3]*a[3]), 9) AS magnitude FROM q")
@@ -131,8 +131,8 @@ def address_preference(spark, d):
     k = F.col("k")
     prefix = F.element_at(F.array(*map(F.lit, ("10.0.0.", "127.0.0.", "169.254.0.", "8.8.4."))), (k % 4 + 1).cast("int"))
     found = event_log(spark, d).select("pool", F.concat(prefix, k.cast("string")).alias("address")).distinct().withColumn("score", S.address_score(F.col("address")))
-    place = F.row_number().over(W.partitionBy("pool").orderBy("score", F.length("address"), "address"))
-    return found.select("pool", "address", "score", place.cast("long").alias("place"))
+    placed = ordered.ranked(found.withColumn("n", F.length("address")), ["pool"], ["score", "n", "address"], "place")
+    return placed.select("pool", "address", "score", (F.col("place") + 1).alias("place"))
 
 
 @query(BASE + "SELECT event_id, value, CASE WHEN value < 1 THEN printf('%.3f', value * 1e3) || ' ns' WHEN value < 1e3 THEN printf('%.3f', value) || ' us' WHEN value < 1e6 THEN printf('%.3f', value / 1e3) || ' ms' ELSE printf('%.3f', value / 1e6) || ' s' END AS shown FROM log")
