@@ -112,3 +112,88 @@ def drawn(seed: str, *columns: str) -> Column:
 def address_score(address: Column) -> Column:
     """Preference of an IPv4 address: global 2, site-local 4, link-local 6, loopback 8; less is better."""
     return F.when(address.startswith("127."), 8).when(address.startswith("169.254."), 6).when(address.rlike(r"^(10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)"), 4).otherwise(2).cast("long")
+
+
+def add(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def scaled(a: Column, by: Column) -> Column:
+    return F.transform(a, lambda x: x * by)
+
+
+# Property lists and templates.
+def string_list(text: Column, delimiter: str = r"\s*,\s*") -> Column:
+    """Parts between delimiters; empty parts at the end are dropped, and no text gives no part. The empty text is one empty part."""
+    parts = F.split(text, delimiter, -1)
+    kept = F.size(parts) - F.aggregate(F.reverse(parts), F.struct(F.lit(True).alias("end"), F.lit(0).alias("n")), lambda s, x: F.struct((s["end"] & (x == "")).alias("end"), (s["n"] + (s["end"] & (x == "")).cast("int")).alias("n")))["n"]
+    return F.when(text.isNull(), F.array().cast("array<string>")).when(text == "", F.array(F.lit(""))).otherwise(F.slice(parts, F.lit(1), kept))
+
+
+def equals(text: Column, match: str) -> Column:
+    """Whether a property is set and equals match."""
+    return F.coalesce(text == match, F.lit(False))
+
+
+def implementations(text: Column) -> tuple[Column, Column]:
+    """The first of a list of stacked implementations, ',' or ';' between them, and the rest (null without one)."""
+    parts = F.split(text, "[,;]", 2)
+    return F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+
+
+def filled(template: Column, host: Column, process: Column) -> Column:
+    """A location template: %HOSTNAME%, %DOMAIN% (levels of the host's name after the first, '@' between them), %FLAT_DOMAIN% (':'), %PID%; %% is one
+    per cent sign, and any other name or lone sign stays as it is."""
+    labels = F.split(host, r"\.")
+    domain = F.slice(labels, F.lit(2), F.greatest(F.size(labels) - 1, F.lit(0)))
+    known = {"%HOSTNAME%": F.get(labels, F.lit(0)), "%DOMAIN%": F.array_join(domain, SEPARATOR), "%FLAT_DOMAIN%": F.array_join(domain, ":"), "%PID%": process.cast("string"), "%%": F.lit("%")}
+    value = F.create_map(*[x for key, column in known.items() for x in (F.lit(key), column)])
+    tokens = F.regexp_extract_all(template, F.lit("%%|%[^%]+%|[^%]+|%"), F.lit(0))
+    return F.array_join(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(value, t), t)), "")
+
+
+def expanded(text: Column, variables: dict[str, str]) -> Column:
+    """${NAME} replaced where NAME is known. Values may name others in turn; a chain of names is followed to its end."""
+    value = F.create_map(*[F.lit(x) for name, known in variables.items() for x in ("${" + name + "}", known)]) if variables else F.create_map().cast("map<string,string>")
+    for _ in variables:
+        tokens = F.regexp_extract_all(text, F.lit(r"\$\{\w+\}|[^$]+|\$"), F.lit(0))
+        text = F.array_join(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(value, t), t)), "")
+    return text
+
+
+# Bytes on the wire.
+def big_endian(number: Column, size: int = 8) -> Column:
+    """Two's complement of a whole number in size bytes, as hex, the highest byte first."""
+    return F.substring(F.lpad(F.hex(number.cast("long")), 16, "0"), 17 - 2 * size, 2 * size)
+
+
+def little_endian(number: Column, size: int = 8) -> Column:
+    digits = big_endian(number, size)
+    return F.array_join(F.transform(F.sequence(F.lit(size - 1), F.lit(0)), lambda i: F.substring(digits, 2 * i + 1, F.lit(2))), "")
+
+
+def from_big_endian(digits: Column) -> Column:
+    """The number of 16 hex digits."""
+    return F.when(F.substring(digits, 1, 1) < "8", F.conv(digits, 16, 10).cast("long")).otherwise(F.conv(digits, 16, -10).cast("long"))
+
+
+def wire_length(text: Column) -> Column:
+    """Bytes of a text whose zero characters take two bytes and whose characters beyond the basic plane take six, as pairs of surrogates."""
+    zeros, beyond = F.regexp_count(text, F.lit("\\x00")), F.regexp_count(text, F.lit("[\\x{10000}-\\x{10FFFF}]"))
+    return (F.octet_length(text) + zeros + 2 * beyond).cast("long")
+
+
+# Port types.
+def port_fault(caps: Column, wants_upcalls: Column) -> Column:
+    """Why a set of capabilities makes no port type; null if it makes one."""
+    has = lambda name: F.array_contains(caps, name)
+    connections = F.size(F.filter(caps, lambda c: c.isin("connection.onetoone", "connection.onetomany", "connection.manytoone", "connection.manytomany")))
+    light = has("connection.light")
+    return (
+        F.when(connections != 1, "CONNECTION_TYPES")
+        .when(~F.exists(caps, lambda c: c.startswith("serialization")), "NO_SERIALIZATION")
+        .when(light & has("connection.upcalls"), "LIGHT_UPCALLS")
+        .when(light & has("communication.reliable"), "LIGHT_RELIABLE")
+        .when(light & has("communication.fifo"), "LIGHT_FIFO")
+        .when(wants_upcalls & ~has("connection.upcalls"), "UPCALLS_NOT_REQUESTED")
+    )
