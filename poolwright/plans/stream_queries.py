@@ -22,21 +22,35 @@ def _events(spark, d):
 
 @query(BASE + "SELECT event_id, pool, member, kind, delta FROM moves")
 def stream_membership(spark, d):
-    return M.drain(spark, M.membership(_events(spark, d)), "append")
+    return M.drain(spark, M.membership(_events(spark, d)))
 
 
-@query(BASE + "SELECT epoch_ms(date_trunc('day', ts)) AS day_ms, kind, count(*) AS n FROM log GROUP BY ALL")
+#: The watermark follows the latest event by a day; windows that end later are not yet written.
+MARK = "(SELECT epoch_us(max(ts)) // 1000 - 86400000 FROM log)"
+
+
+@query(BASE + f", w AS (SELECT kind, epoch_ms(date_trunc('day', ts)) AS day_ms FROM log) SELECT day_ms, kind, count(*) AS n FROM w GROUP BY day_ms, kind HAVING day_ms + 86400000 <= {MARK}")
 def stream_tumbling_counts(spark, d):
-    out = M.drain(spark, M.tumbling_counts(_events(spark, d)), "complete")
+    out = M.drain(spark, M.tumbling_counts(_events(spark, d)))
     return out.select(F.unix_millis("w.start").alias("day_ms"), "kind", "n")
 
 
 @query(
     BASE
-    + """, g AS (SELECT member, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY member ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS first FROM log),
+    + f""", w AS (SELECT kind, unnest([epoch_ms(date_trunc('day', ts)), epoch_ms(date_trunc('day', ts)) - 86400000]) AS start_ms FROM log)
+SELECT start_ms, kind, count(*) AS n FROM w GROUP BY ALL HAVING start_ms + 172800000 <= {MARK}"""
+)
+def stream_sliding_counts(spark, d):
+    out = M.drain(spark, M.sliding_counts(_events(spark, d)))
+    return out.select(F.unix_millis("w.start").alias("start_ms"), "kind", "n")
+
+
+@query(
+    BASE
+    + f""", g AS (SELECT member, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY member ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS first FROM log),
 s AS (SELECT *, sum(first) OVER (PARTITION BY member ORDER BY ts) AS spell FROM g)
-SELECT member, epoch_us(min(ts)) // 1000 AS start_ms, epoch_us(max(ts)) // 1000 + 43200000 AS suspect_ms, count(*) AS n FROM s GROUP BY member, spell"""
+SELECT member, epoch_us(min(ts)) // 1000 AS start_ms, epoch_us(max(ts)) // 1000 + 43200000 AS suspect_ms, count(*) AS n FROM s GROUP BY member, spell HAVING suspect_ms <= {MARK}"""
 )
 def stream_heartbeat_sessions(spark, d):
-    out = M.drain(spark, M.heartbeat_sessions(_events(spark, d)), "complete")
+    out = M.drain(spark, M.heartbeat_sessions(_events(spark, d)))
     return out.select("member", F.unix_millis("w.start").alias("start_ms"), F.unix_millis("w.end").alias("suspect_ms"), "n")

@@ -2,36 +2,24 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from poolwright import scratch
 from poolwright.session import ship
 
 
-def _root(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return (root or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch").rstrip("/")
-
-
-def drain(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there now and return what it wrote: Parquet in the shared folder, nothing in the driver."""
-    name = f"{_root(spark)}/stream-{uuid.uuid4().hex}"
-    out, log = f"{name}/rows", f"{name}/log"
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", out).start()
-    else:
-        spark.createDataFrame([], stream.schema).write.parquet(out)
-        # Every batch gives the whole result, so the last one stands.
-        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+def drain(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """Run a stream over what is there now and return what it wrote: Parquet in the shared folder, nothing in the driver. Windows are written once, when the watermark has passed them."""
+    name = scratch.path(spark, "stream")
+    writer = stream.writeStream.outputMode("append").format("parquet").option("path", f"{name}/rows").option("checkpointLocation", f"{name}/log")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{name}/rows")
 
 
 def membership(events: DataFrame) -> DataFrame:
@@ -44,15 +32,12 @@ def membership(events: DataFrame) -> DataFrame:
 
 
 def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    present = state.get[0] if state.exists else False
-    out = []
-    for row in pd.concat(list(frames)).sort_values("event_id").itertuples(index=False):
-        joins = row.kind == "JOIN"
-        if joins != present:
-            present = joins
-            out.append((row.event_id, *key, row.kind, 1 if joins else -1))
-    state.update((present,))
-    yield pd.DataFrame(out, columns=["event_id", "pool", "member", "kind", "delta"])
+    moves = pd.concat(list(frames)).sort_values("event_id")
+    joins = moves["kind"].to_numpy() == "JOIN"
+    before = np.r_[state.get[0] if state.exists else False, joins[:-1]]
+    state.update((bool(joins[-1]),))
+    out = moves[joins != before]
+    yield out[["event_id", "pool", "member", "kind"]].assign(delta=np.where(out["kind"] == "JOIN", 1, -1))
 
 
 def tumbling_counts(events: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -61,6 +46,12 @@ def tumbling_counts(events: DataFrame, width: str = "1 day", late: str = "1 day"
     return timed.groupBy(F.window("at", width).alias("w"), "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def sliding_counts(events: DataFrame, width: str = "2 days", slide: str = "1 day", late: str = "1 day") -> DataFrame:
+    """Events by kind and window, windows overlapping; rows later than the watermark are dropped."""
+    timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+    return timed.groupBy(F.window("at", width, slide).alias("w"), "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 def heartbeat_sessions(events: DataFrame, silence: str = "12 hours", late: str = "1 day") -> DataFrame:
     """Spells of a member without a silence: a spell's end plus the silence is when it becomes suspect."""
     timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)

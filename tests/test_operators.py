@@ -125,6 +125,6 @@ def test_every_event_is_invoked(spark, tmp_path):
 def test_streams_leave_their_rows_in_files(spark, data):
     from poolwright.plans.catalogue import QUERIES
 
-    for name in ("stream_membership", "stream_tumbling_counts", "stream_heartbeat_sessions"):
+    for name in ("stream_membership", "stream_tumbling_counts", "stream_sliding_counts", "stream_heartbeat_sessions"):
         found = QUERIES[name](spark, data)
         assert found.inputFiles() and found.count() > 0

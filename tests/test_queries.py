@@ -9,11 +9,6 @@ def test_query_equals_its_sql(spark, data, name):
     check(catalogue.QUERIES[name](spark, data), catalogue.ORACLE[name], data)
 
 
-def test_bounded_cache_repeats_itself(spark, data):
-    query = catalogue.QUERIES["bounded_cache"]
-    assert sorted(query(spark, data).collect()) == sorted(query(spark, data).collect())
-
-
 def test_entry_has_rows(spark):
     import __spark_entry__ as e
 
