@@ -34,7 +34,7 @@ SKETCHES, BINS = 4, 64
 ROWS, BANDS = 5, 51
 #: Single bits that may differ: 32 are expected at similarity 0.75, 5.3 is their deviation; small sets deviate more.
 MOST_BITS = 84
-#: Classes in a block whose single bits are held against those of another, and shingles in a block whose sets are.
+#: Classes in a block whose single bits are held against those of another, and shingles in a block whose sets are, at most or so.
 CLASSES, SHINGLES = 2_000, 200_000
 #: Members of a centre that are confirmed in one place; a centre's text is sent once to each such place.
 MEMBERS = 500
@@ -125,16 +125,56 @@ def confirm(stars: DataFrame, texts: DataFrame) -> DataFrame:
     return scratch(rows.select("centre", "member", "text").mapInArrow(_confirm, "a long, b long"), "near-links")
 
 
-def _met(rows: DataFrame, keys: list[str], size: Column, block: int) -> tuple[DataFrame, DataFrame]:
-    """rows (with outside: whether it is out of its key's largest component), laid out so that each outside one meets every other of its key in one block (i, j)."""
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
+def _met(rows: DataFrame, keys: list[str], size: Column, block: int) -> DataFrame:
+    """rows (with outside: whether it is out of its key's largest component), laid out so that each outside one (left) meets every other of its key in one block (i, j).
+
+    Blocks have a tenth of the given size, so that several tasks share a key, or the given size where that would take more than 16 of them a side.
+    """
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / block), F.least(F.lit(16), F.ceil(10 * n / block))).cast("int")
     sizes = rows.groupBy(*keys).agg(blocks(F.sum(size)).alias("all"), blocks(F.sum(F.when(F.col("outside"), size).otherwise(0))).alias("out"))
     own = rows.join(scratch(sizes, "block-sizes"), keys)
     place = lambda n: F.pmod(F.hash("doc_id"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = own.filter("outside").withColumn("i", place("out")).withColumn("j", every("all")).drop("all", "out", "outside")
-    right = own.withColumn("i", every("out")).withColumn("j", place("all")).drop("all", "out", "outside")
-    return left, right
+    left = own.filter("outside").withColumn("i", place("out")).withColumn("j", every("all")).withColumn("left", F.lit(True))
+    right = own.withColumn("i", every("out")).withColumn("j", place("all")).withColumn("left", F.lit(False))
+    return left.unionByName(right).drop("all", "out", "outside")
+
+
+def _fits(n: np.ndarray, labels: np.ndarray, bits: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """Those of others whose label differs from row i's, and whose size and single bits allow a link with it. bits: unsigned, as those of a negative number would be counted of its absolute value."""
+    differ = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
+    return others[(labels[others] != labels[i]) & (n[others] * 100 >= n[i] * PERCENT) & (n[i] * 100 >= n[others] * PERCENT) & (differ <= MOST_BITS)]
+
+
+HOPEFUL = ["band", "i", "j", "left", "doc_id", "label", "n", "b0", "b1", "b2", "b3"]
+
+
+def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes that may have a link, of blocks that come in order. A block that goes on in the next batch is held over."""
+    held = None
+
+    def found(rows: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(rows), bool)
+        key = rows[:, :3]
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+        for low, high in zip(starts, np.r_[starts[1:], len(rows)]):
+            own = rows[low:high]
+            labels, n, bits = own[:, 5], own[:, 6], np.ascontiguousarray(own[:, 7:]).view(np.uint64)
+            right = np.flatnonzero(own[:, 3] == 0)
+            for i in np.flatnonzero(own[:, 3]):
+                fits = _fits(n, labels, bits, i, right)
+                out[low + fits] = True
+                out[low + i] |= bool(len(fits))
+        return np.unique(rows[out, 4])
+
+    for batch in batches:
+        rows = np.stack([c.cast(pa.int64()).to_numpy() for c in batch.columns], axis=1)
+        rows = rows if held is None else np.concatenate([held, rows])
+        last = int(np.flatnonzero(np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)])[-1]) if len(rows) else 0
+        held = rows[last:]
+        yield pa.RecordBatch.from_arrays([pa.array(found(rows[:last]) if last else np.empty(0, np.int64))], names=["doc_id"])
+    if held is not None and len(held):
+        yield pa.RecordBatch.from_arrays([pa.array(found(held))], names=["doc_id"])
 
 
 def _missed(crowd: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
@@ -153,16 +193,12 @@ def _missed(crowd: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     apart = placed.join(mixed, "band").select("band", "family", "doc_id", "label", *figures, (F.col("label") != F.col("family")).alias("outside"))
     apart = scratch(apart, "apart")
 
-    left, right = _met(apart.drop("family"), ["band"], F.lit(1), CLASSES)
-    left = left.select("band", "i", "j", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "label", *figures)])
-    right = right.select("band", "i", "j", *[F.col(c).alias(f"y_{c}") for c in ("doc_id", "label", *figures)])
-    pairs = left.join(right, ["band", "i", "j"]).filter(F.col("x_label") != F.col("y_label")).filter(near("x_", "y_"))
-    hopeful = scratch(pairs.select(F.explode(F.array("x_doc_id", "y_doc_id")).alias("doc_id")).distinct(), "hopeful")
+    met = _met(apart.drop("family"), ["band"], F.lit(1), CLASSES).select(*HOPEFUL)
+    met = met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    hopeful = scratch(met.mapInArrow(_hopeful, "doc_id long").distinct(), "hopeful")
 
     family = scratch(apart.join(hopeful, "doc_id", "left_semi").drop("band").distinct(), "families")
-    left, right = _met(family, ["family"], F.col("n"), SHINGLES)
-    rows = left.withColumn("left", F.lit(True)).unionByName(right.withColumn("left", F.lit(False)))
-    rows = scratch(rows, "blocks").join(texts, "doc_id")
+    rows = scratch(_met(family, ["family"], F.col("n"), SHINGLES), "blocks").join(texts, "doc_id")
     return scratch(rows.groupBy("family", "i", "j").applyInArrow(_compare, "a long, b long").distinct(), "missed-links")
 
 
@@ -170,7 +206,6 @@ def _compare(block: pa.Table) -> pa.Table:
     """Links between the left rows of a block and its other rows of different label, one at least for each two labels that have any."""
     ids, labels, n = (block.column(c).to_numpy() for c in ("doc_id", "label", "n"))
     left = block.column("left").to_numpy()
-    # Unsigned: the bits of a negative number would be counted of its absolute value.
     bits = np.stack([block.column(f"b{k}").to_numpy() for k in range(4)], axis=1).view(np.uint64)
     sets: dict[int, np.ndarray] = {}
 
@@ -181,9 +216,7 @@ def _compare(block: pa.Table) -> pa.Table:
 
     right, found = np.flatnonzero(~left), {}
     for i in np.flatnonzero(left):
-        differ = np.bitwise_count(bits[right] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        fits = (labels[right] != labels[i]) & (n[right] * 100 >= n[i] * PERCENT) & (n[i] * 100 >= n[right] * PERCENT) & (differ <= MOST_BITS)
-        for j in right[fits]:
+        for j in _fits(n, labels, bits, i, right):
             two = (min(labels[i], labels[j]), max(labels[i], labels[j]))
             if two not in found and similar(shingles(int(i)), shingles(int(j)), PERCENT):
                 found[two] = (min(ids[i], ids[j]), max(ids[i], ids[j]))
