@@ -6,12 +6,15 @@ emitted sequences. The embedding of n characters has 3n steps. A fingerprint kee
 first 128, then 128 in each octave [2^k, 2^(k+1)), so short and long texts share their early samples. likeness() weighs each
 octave by the steps it stands for and turns agreement of bits into a share of equal characters.
 
-For near-duplicate search, bands of sampled bits bucket the texts, each meets the least text of its buckets, and pairs are verified on whole fingerprints.
+For near-duplicate search, bands of sampled bits bucket the fingerprints, each meets the least text of its buckets, and pairs are verified on whole fingerprints.
+At likeness 0.95, 0.9 and 0.85 two texts share a band with probability 1, 0.98 and 0.87; a text that is like another of its bucket but not like the
+bucket's least gets no link there.
 
-Neighbours in id order come from buckets of id ranges: each bucket also gets the first row of the next one, so texts are shuffled once.
+Neighbours in id order come from buckets of id ranges: each bucket also gets the first row of the next one, so texts are shuffled once. What banding found of a
+text travels to its bucket as a row of its own.
 
 Defined cases: null is the empty text; the fingerprint of an empty text has no bits, and is like another empty one (1) and unlike any other (0); rows that share a
-doc_id follow each other in order of text; a null doc_id comes last; a single row is its own successor; an empty table gives an
+doc_id follow each other in order of text and have their links in common; a null doc_id comes last and links with nothing; a single row is its own successor; an empty table gives an
 empty result; further columns are ignored.
 """
 
@@ -25,7 +28,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from poolwright.llm.common import scratch
 from poolwright.session import ship
@@ -36,8 +38,10 @@ OCTAVES = 30
 #: Rows of the shared table of moves, reused in turn.
 MOVES = 4096
 #: Bands, bits of each, and the likeness that verifies a pair.
-BANDS, BAND_BITS, LIKE = 24, 24, 0.75
+BANDS, BAND_BITS, LIKE = 12, 24, 0.85
 LAST = (1 << 63) - 1
+#: So few texts walk on one by one, which costs less than steps of whole arrays.
+FEW = 24
 
 _rng = np.random.default_rng(97)
 _moves = _rng.integers(0, 2, (MOVES, 256), dtype=np.uint8)
@@ -66,6 +70,23 @@ def samples_of(n: int) -> int:
     return int(np.searchsorted(OCTAVE_OF, octave, side="right"))
 
 
+_MOVES = _moves.tobytes()
+
+
+def _walk_on(buffer: np.ndarray, at: int, step: int, sampled: list[int], k: int, seen: np.ndarray) -> None:
+    """Walk one text from a position and step on, noting its characters at the sampled steps from the k-th on. Ends with the text: what follows is the end symbol, 0."""
+    end = at + int(np.flatnonzero(buffer[at:] == 0)[0]) if buffer[at] else at
+    text, moves, mask, at = buffer[at : end + 1].tobytes(), _MOVES, MOVES - 1, 0
+    for stop in sampled[k:-1]:
+        for j in range(step, stop):
+            at += moves[(j & mask) << 8 | text[at]]
+        step = stop
+        if not text[at]:
+            return
+        seen[k] = text[at]
+        k += 1
+
+
 def embed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Sampled bits (a row for each text, zero-padded by the bits of the end symbol) and lengths. All texts walk in lockstep."""
     lengths = np.array([len(t) for t in texts], np.int64)
@@ -87,7 +108,9 @@ def embed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             walking = (buffer[pos] != 0) & (3 * lengths[who] > j)
             if not walking.all():
                 who, pos = who[walking], pos[walking]
-            if not len(who):
+            if len(who) <= FEW:
+                for i, at in zip(who.tolist(), pos.tolist()):
+                    _walk_on(buffer, at, j, sampled, next_sample, seen[:, i])
                 break
         c = buffer.take(pos)
         if j == sampled[next_sample]:
@@ -130,41 +153,50 @@ def parse(fingerprint: str) -> tuple[int, np.ndarray]:
     return n, np.unpackbits(np.frombuffer(bytes.fromhex(digits), np.uint8))[: samples_of(n)]
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_links long, like_id long"
 
 
 def _with_edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, halo, doc_id, text) in order; every row that isn't a halo is followed by its successor."""
+    """Rows (bucket, kind, doc_id, text, n_links, like_id) in order. Kind 0: a text; 1: its links, before it; 2: the first text of the next bucket. Every text is followed by its successor."""
     carry: list[tuple] = []
+    links: tuple = (None, 0, None)
     for batch in batches:
         columns = batch.to_pydict()
-        rows = carry + list(zip(columns["bucket"], columns["halo"], columns["doc_id"], columns["text"]))
+        rows = carry
+        for kind, doc_id, text, n, like_id in zip(columns["kind"], columns["doc_id"], columns["text"], columns["n_links"], columns["like_id"]):
+            if kind == 1:
+                links = (doc_id, n, like_id)
+            else:
+                known = links if doc_id is not None and links[0] == doc_id else (doc_id, 0, doc_id)
+                rows.append((kind == 2, doc_id, text, known[1], known[2]))
         carry = rows[-1:]
-        own = [i for i in range(len(rows) - 1) if not rows[i][1]]
+        own = [i for i in range(len(rows) - 1) if not rows[i][0]]
         if not own:
             continue
-        texts = [r[3] for r in rows]
+        texts = [r[2] for r in rows]
         halves = [len(texts[i]) // 2 for i in own]
         edited = [texts[i][: len(texts[i]) - h] + texts[i + 1][:h] for i, h in zip(own, halves)]
         bits, lengths = embed(texts + edited)
         mine, after, changed = np.array(own), np.array(own) + 1, np.arange(len(texts), len(texts) + len(own))
-        names = render(bits[mine], lengths[mine])
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([rows[i][2] for i in own], pa.int64()),
+                pa.array([rows[i][1] for i in own], pa.int64()),
                 pa.array(lengths[mine]),
                 pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]),
-                pa.array(names),
+                pa.array(render(bits[mine], lengths[mine])),
                 pa.array(render(bits[changed], lengths[changed])),
                 pa.array(likeness(bits[mine], lengths[mine], bits[changed], lengths[changed])),
                 pa.array(likeness(bits[mine], lengths[mine], bits[after], lengths[after])),
+                pa.array([rows[i][3] for i in own], pa.int64()),
+                pa.array([rows[i][4] for i in own], pa.int64()),
             ],
-            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            names=[x.split()[0] for x in RESULT.split(", ")],
         )
 
 
 def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text and of its edited text (second half from the next document), and the likenesses."""
+    """Fingerprints of each text and of its edited text (second half from the next document), their likenesses, and what banding links the text with:
+    the number of its verified links, and the least doc_id among them and itself."""
     spark = docs.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -181,50 +213,74 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     firsts = [(r["bucket"], r["first"]) for r in rows.select("key", bucket("key").alias("bucket")).groupBy("bucket").agg(F.min("key").alias("first")).orderBy("bucket").collect()]
     halo = [(firsts[i - 1][0], first) for i, (_, first) in enumerate(firsts)]
     halos = F.broadcast(spark.createDataFrame(halo, "bucket int, key long"))
-    both = rows.select(bucket("key").alias("bucket"), F.lit(0).alias("halo"), "key", "doc_id", "text").unionByName(
-        rows.join(halos, "key").select("bucket", F.lit(1).alias("halo"), "key", "doc_id", "text")
-    )
-    placed = both.repartition(parts, "bucket").sortWithinPartitions("bucket", "halo", "key", "text")
-    return placed.select("bucket", "halo", "doc_id", "text").mapInArrow(_with_edits, RESULT)
+    no_links = [F.lit(None).cast("long").alias(c) for c in ("n_links", "like_id")]
+    text = rows.select(bucket("key").alias("bucket"), F.lit(0).alias("kind"), "key", "doc_id", "text", *no_links)
+    next_text = rows.join(halos, "key").select("bucket", F.lit(2).alias("kind"), "key", "doc_id", "text", *no_links)
+    linked = link_counts(near_links(docs))
+    linked = linked.select(bucket("doc_id").alias("bucket"), F.lit(1).alias("kind"), F.col("doc_id").alias("key"), "doc_id", F.lit(None).cast("string").alias("text"), "n_links", "like_id")
+    # A bucket's own rows by key, links before the texts they are of; then the next bucket's first.
+    order = ["bucket", F.col("kind") == 2, "key", F.col("kind") == 0, "text"]
+    placed = text.unionByName(next_text).unionByName(linked).repartition(parts, "bucket").sortWithinPartitions(*order)
+    return placed.select("bucket", "kind", "doc_id", "text", "n_links", "like_id").mapInArrow(_with_edits, RESULT)
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bits, lengths = embed(batch.column(1).to_pylist())
+        packed = [np.packbits(row[: samples_of(int(n))]).tobytes() for row, n in zip(bits, lengths)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths), pa.array(packed, pa.binary())], names=["doc_id", "n", "bits"])
+
+
+def _picks() -> list[np.ndarray]:
+    """The samples that each band of each length class takes: of those steps that every text of the class walks."""
+    return [np.random.default_rng(level).integers(0, max(1, int(np.searchsorted(SAMPLED, 1 << (level + 1)))), (BANDS, BAND_BITS)) for level in range(OCTAVES)]
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprint and band keys of each text. A text near the lower end of its length class also joins the class below."""
+    """(band, doc_id): length class, number and bits of each band in one number. A text near the lower end of its length class also joins the class below."""
+    picks, weights = _picks(), 1 << np.arange(BAND_BITS, dtype=np.int64)
+    for batch in batches:
+        bands, counts = [], []
+        for n, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            row = np.unpackbits(np.frombuffer(packed, np.uint8))
+            levels = sorted({int(np.log2(max(int(n * f), 1))) for f in (1, LIKE)})
+            for level in levels:
+                bands.append(((level * BANDS + np.arange(BANDS)) << BAND_BITS) + row[picks[level]] @ weights)
+            counts.append(BANDS * len(levels))
+        flat = np.concatenate(bands) if bands else np.empty(0, np.int64)
+        owners = batch.column(0).take(pa.array(np.repeat(np.arange(len(batch)), counts)))
+        yield pa.RecordBatch.from_arrays([pa.array(flat.astype(np.int64)), owners], names=["band", "doc_id"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Likeness of pairs (a, na, fa, b, nb, fb)."""
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        bits, lengths = embed(texts)
-        keys = []
-        for row, n in zip(bits, lengths):
-            mine = []
-            for level in sorted({int(np.log2(max(int(n * f), 1))) for f in (1, 0.85)}) if n else ():
-                reach = int(np.searchsorted(SAMPLED, 1 << (level + 1)))  # sampled steps that every text of the class walks
-                picks = np.random.default_rng(level).integers(0, reach, (BANDS, BAND_BITS))
-                mine += [f"{level}:{b}:{np.packbits(row[p]).tobytes().hex()}" for b, p in enumerate(picks)]
-            keys.append(mine)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(render(bits, lengths)), pa.array(keys, pa.list_(pa.string()))], names=["doc_id", "fingerprint", "bands"])
-
-
-@F.pandas_udf(DoubleType())
-def fingerprint_likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(a, b):
-        (n, p), (m, q) = parse(x), parse(y)
-        width = max(len(p), len(q))
-        bits = np.tile(_bits[:width, 0], (2, 1))
-        bits[0, : len(p)], bits[1, : len(q)] = p, q
-        out.append(float(likeness(bits[:1], np.array([n]), bits[1:], np.array([m]))[0]))
-    return pd.Series(out, dtype="float64")
+        a, na, fa, b, nb, fb = batch.columns
+        out = []
+        for n, p, m, q in zip(na.to_pylist(), fa.to_pylist(), nb.to_pylist(), fb.to_pylist()):
+            p, q = (np.unpackbits(np.frombuffer(x, np.uint8))[: samples_of(k)] for x, k in ((p, n), (q, m)))
+            width = max(len(p), len(q))
+            bits = np.tile(_bits[:width, 0], (2, 1))
+            bits[0, : len(p)], bits[1, : len(q)] = p, q
+            out.append(float(likeness(bits[:1], np.array([n]), bits[1:], np.array([m]))[0]))
+        yield pa.RecordBatch.from_arrays([a, b, pa.array(out, pa.float64())], names=["a", "b", "likeness"])
 
 
 def near_links(docs: DataFrame, like: float = LIKE) -> DataFrame:
     """Verified pairs (a, b, likeness), a < b: each text and the least text of every bucket they share. Equal texts share all buckets."""
     ship(docs.sparkSession)
     rows = docs.filter("doc_id is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = scratch(rows.mapInArrow(_bands, "doc_id long, fingerprint string, bands array<string>"), "edit-bands")
-    banded = marked.select(F.explode("bands").alias("band"), "doc_id")
-    centres = scratch(banded.groupBy("band").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "a"), "edit-centres")
-    pairs = banded.join(centres, "band").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    prints = scratch(rows.mapInArrow(_prints, "doc_id long, n long, bits binary"), "edit-prints")
+    banded = prints.mapInArrow(_bands, "band long, doc_id long")
+    centres = banded.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a <> z").select("band", "a")
+    pairs = banded.join(scratch(centres, "edit-centres"), "band").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     pairs = scratch(pairs, "edit-pairs")
-    prints = marked.select("doc_id", "fingerprint")
-    both = pairs.join(prints.toDF("a", "fa"), "a").join(prints.toDF("b", "fb"), "b")
-    return both.select("a", "b", fingerprint_likeness("fa", "fb").alias("likeness")).filter(F.col("likeness") >= like)
+    both = pairs.join(prints.toDF("a", "na", "fa"), "a").join(prints.toDF("b", "nb", "fb"), "b").select("a", "na", "fa", "b", "nb", "fb")
+    # An id on several rows counts by its likest.
+    return both.mapInArrow(_verified, "a long, b long, likeness double").groupBy("a", "b").agg(F.max("likeness").alias("likeness")).filter(F.col("likeness") >= like)
+
+
+def link_counts(links: DataFrame) -> DataFrame:
+    """(doc_id, n_links, like_id) of every id that has a link."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("a").alias("least")), F.struct(F.col("b").alias("doc_id"), F.col("a").alias("least")))).alias("e"))
+    return ends.groupBy("e.doc_id").agg(F.count(F.lit(1)).alias("n_links"), F.min("e.least").alias("like_id"))

@@ -182,3 +182,49 @@ def test_empty_tables_and_null_rows(spark):
     assert license_scan.scan(nothing).count() == 0
     assert minhash_dedup.near_components(nothing).collect()[0]["kept"]
     assert suffix_dedup.remove_repeats(nothing).collect()[0]["n_removed"] == 0
+
+
+def test_links_of_fingerprints_against_brute_force(spark, data):
+    """Every pair of the small table, by the plain likeness of its fingerprints."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect() if r["text"]]
+    bits, lengths = fingerprint.embed([t for _, t in rows])
+    ids, true = np.array([i for i, _ in rows]), set()
+    for k in range(len(rows)):
+        like = fingerprint.likeness(np.tile(bits[k], (k, 1)), np.full(k, lengths[k]), bits[:k], lengths[:k])
+        true |= {(min(ids[k], ids[j]), max(ids[k], ids[j])) for j in np.flatnonzero(like >= fingerprint.LIKE)}
+    links = {(r["a"], r["b"]): r["likeness"] for r in fingerprint.near_links(spark.read.parquet(f"{data}/documents.parquet")).collect()}
+    assert set(links) <= true
+    label = {i: i for i in ids}
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a, b in links:
+        label[find(b)] = find(a)
+    print(len(true), len(links), sum(find(a) == find(b) for a, b in true) / len(true))
+    assert sum(find(a) == find(b) for a, b in true) >= 0.95 * len(true)
+    table = {r["doc_id"]: r for r in fingerprint.fingerprint_neighbours(spark.read.parquet(f"{data}/documents.parquet")).collect()}
+    for i in ids:
+        own = [x for x in links if i in x]
+        assert (table[i]["n_links"], table[i]["like_id"]) == (len(own), min([i, *[a for a, _ in own]]))
+
+
+def plain_walk(text):
+    """The embedding of one text, character by character."""
+    symbols, out, at = [*fingerprint.symbols(text).tolist(), 0], {}, 0
+    wanted = set(fingerprint.SAMPLED.tolist())
+    for j in range(3 * len(text)):
+        c = symbols[at]
+        if j in wanted:
+            out[j] = c
+        at += int(fingerprint._moves[j % fingerprint.MOVES, c])
+    return [int(fingerprint._bits[k, out.get(int(j), 0)]) for k, j in enumerate(fingerprint.SAMPLED[: fingerprint.samples_of(len(text))])]
+
+
+def test_fingerprints_equal_a_plain_walk():
+    texts = ["", "a", "héllo ☃", prose(40, 1), prose(300, 2), "x" * 1000, *[prose(60 + 9 * k, k) for k in range(40)]]
+    bits, lengths = fingerprint.embed(texts)
+    for row, n, text in zip(bits, lengths, texts):
+        assert row[: fingerprint.samples_of(int(n))].tolist() == plain_walk(text)
