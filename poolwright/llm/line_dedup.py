@@ -5,7 +5,7 @@ threshold. What is left gets a HyperLogLog sketch of its sites per line, merged
 decide; near it the exact number of sites does. Lines that reach min_sites leave every document.
 
 Defined cases: a null text is the empty text; blank lines are never boilerplate; a null site counts as no site; a document's remaining lines keep their
-order and their line feeds; a document of boilerplate alone becomes empty; repeated rows get equal results; an empty table
+order and their line feeds; a document of boilerplate alone becomes empty; repeated rows get equal results; very long texts are split whole, in one task each; an empty table
 gives an empty result; further columns are ignored by the report and passed through by remove_boilerplate.
 """
 
@@ -55,7 +55,9 @@ def drop_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES
     hits = hits.groupBy(key, F.col(mark).alias(f"{mark}r")).agg(F.collect_set(pos).alias(gone))
     out = marked.join(hits.hint("shuffle_hash"), marked["doc_id"].eqNullSafe(hits[key]) & (marked[mark] == hits[f"{mark}r"]), "left")
     all_lines = F.split(body, "\n", -1)
-    left = F.array_join(F.filter(all_lines, lambda _, i: ~F.array_contains(gone, i)), "\n")
+    # Lines are split once, and picked by place: a search through the removed places for each line would be quadratic.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), gone)
+    left = F.get(F.transform(F.array(all_lines), lambda parts: F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")), F.lit(0))
     out = out.withColumns(
         {
             n_lines: F.size(all_lines).cast("long"),

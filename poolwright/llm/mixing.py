@@ -7,7 +7,7 @@ so no source is ever gathered in one task.
 
 Defined cases: a null or empty text has size 0; sources go by code point with null last, '' and null being different sources; a source of
 size 0 gets target 0; documents of equal size go by doc_id; rows that repeat a doc_id are drawn one by one, and the stage emits each of them as often
-as the luckiest; an empty table gives an empty result; further columns pass through.
+as the luckiest; a very long text is one row of its size, taken whole or not at all; an empty table gives an empty result; further columns pass through.
 """
 
 from __future__ import annotations
