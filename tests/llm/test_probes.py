@@ -228,3 +228,32 @@ def test_fingerprints_equal_a_plain_walk():
     bits, lengths = fingerprint.embed(texts)
     for row, n, text in zip(bits, lengths, texts):
         assert row[: fingerprint.samples_of(int(n))].tolist() == plain_walk(text)
+
+
+def test_multikey_order_sorts_by_all_keys():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 500):
+        keys = [rng.integers(0, high, n) for high in (3, 4, 1000)]
+        assert [tuple(k[i] for k in keys) for i in suffix_dedup.multikey_order(keys)] == sorted(zip(*keys))
+
+
+def test_suffixes_over_many_buckets(spark, monkeypatch):
+    """Passages of many documents fill several buckets, and are compared across their boundaries."""
+    passage = prose(150, 1)
+    texts = [prose(60 + i % 7, 10 + i % 25) + passage[i % 3 * 40 :] + prose(40, 100 + i) for i in range(60)] + [prose(120, 7)] * 9 + [passage[:401] + prose(70, 8)]
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 7)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(frame).collect()}
+    assert [found[i] for i in range(len(texts))] == plain.repeats(texts)
+
+
+def test_keys_that_cross_buckets_repeat(spark):
+    keys = [1, 1, 2, 3, 3, 3, 3, 3, 3, 4, 5, 5, 6]
+    frame = suffix_dedup.scratch(spark.createDataFrame([(1, k, i) for i, k in enumerate(keys)], "lead long, hash long, i long"), "crossing")
+    for size in (1, 2, 3, 100):
+        before, suffix_dedup.BUCKET = suffix_dedup.BUCKET, size
+        try:
+            rows = suffix_dedup.sorted_flags(frame, ["lead", "hash"], ["i"], "sorted").collect()
+        finally:
+            suffix_dedup.BUCKET = before
+        assert sorted(r["i"] for r in rows if r["repeat"]) == [i for i, k in enumerate(keys) if keys.count(k) > 1]
