@@ -31,13 +31,24 @@ def membership(events: DataFrame) -> DataFrame:
     )
 
 
+#: What changes membership, numbered in the low bits of a packed event.
+MOVES = ["JOIN", "LEAVE", "DIED"]
+#: Rows of a frame that the fold gives back.
+CHUNK = 1 << 16
+
+
 def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    moves = pd.concat(list(frames)).sort_values("event_id")
-    joins = moves["kind"].to_numpy() == "JOIN"
+    """A member's events of a micro-batch in order, 8 bytes each: event_id and kind in one number."""
+    packed = np.concatenate([f["event_id"].to_numpy() * 4 + pd.Index(MOVES).get_indexer(f["kind"]) for f in frames])
+    packed.sort()
+    joins = packed & 3 == 0
     before = np.r_[state.get[0] if state.exists else False, joins[:-1]]
     state.update((bool(joins[-1]),))
-    out = moves[joins != before]
-    yield out[["event_id", "pool", "member", "kind"]].assign(delta=np.where(out["kind"] == "JOIN", 1, -1))
+    packed = packed[joins != before]
+    for at in range(0, len(packed), CHUNK):
+        some = packed[at : at + CHUNK]
+        kinds = np.take(MOVES, some & 3)
+        yield pd.DataFrame({"event_id": some >> 2, "pool": key[0], "member": key[1], "kind": kinds, "delta": np.where(some & 3 == 0, 1, -1)})
 
 
 def tumbling_counts(events: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
