@@ -1,8 +1,8 @@
-"""Connected components of an edge table by label propagation with pointer jumping."""
+"""Connected components of an edge table by label propagation with pointer jumping, and blocks in which rows of different components meet."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from poolwright.llm.common import scratch
@@ -27,3 +27,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = scratch(jumped, "cc-labels")
         if not labels.join(old, "node").filter("label <> old").limit(1).count():
             return labels
+
+
+def meet_in_blocks(rows: DataFrame, keys: list[str], size: Column, block: int) -> DataFrame:
+    """rows (with outside: whether it is out of its key's largest component), laid out so that each outside one (left) meets every other of its key in one block (i, j).
+
+    Blocks have a tenth of the given size, so that several tasks share a key, or the given size where that would take more than 16 of them a side.
+    """
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / block), F.least(F.lit(16), F.ceil(10 * n / block))).cast("int")
+    sizes = rows.groupBy(*keys).agg(blocks(F.sum(size)).alias("all"), blocks(F.sum(F.when(F.col("outside"), size).otherwise(0))).alias("out"))
+    own = rows.join(scratch(sizes, "block-sizes"), keys)
+    place = lambda n: F.pmod(F.hash("doc_id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = own.filter("outside").withColumn("i", place("out")).withColumn("j", every("all")).withColumn("left", F.lit(True))
+    right = own.withColumn("i", every("out")).withColumn("j", place("all")).withColumn("left", F.lit(False))
+    return left.unionByName(right).drop("all", "out", "outside")

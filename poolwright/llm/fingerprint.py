@@ -6,9 +6,9 @@ emitted sequences. The embedding of n characters has 3n steps. A fingerprint kee
 first 128, then 128 in each octave [2^k, 2^(k+1)), so short and long texts share their early samples. likeness() weighs each
 octave by the steps it stands for and turns agreement of bits into a share of equal characters.
 
-For near-duplicate search, bands of sampled bits bucket the fingerprints, each meets the least text of its buckets, and pairs are verified on whole fingerprints.
-At likeness 0.95, 0.9 and 0.85 two texts share a band with probability 1, 0.98 and 0.87; a text that is like another of its bucket but not like the
-bucket's least gets no link there.
+For near-duplicate search equal fingerprints are one class, bands of sampled bits bucket the classes, each meets the least of its buckets, and pairs are verified on whole
+fingerprints. Where a bucket still holds several components, every class outside its largest one is held against the others, in blocks of bounded size. After this, any two
+like texts that share a bucket are in one component. At likeness 0.95, 0.9 and 0.85 two texts share a band with probability 1, 0.98 and 0.87.
 
 Neighbours in id order come from buckets of id ranges: each bucket also gets the first row of the next one, so texts are shuffled once. What banding found of a
 text travels to its bucket as a row of its own.
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poolwright.llm.common import scratch
+from poolwright.llm.components import components, meet_in_blocks
 from poolwright.session import ship
 
 PER_OCTAVE = 128
@@ -40,6 +41,8 @@ MOVES = 4096
 #: Bands, bits of each, and the likeness that verifies a pair.
 BANDS, BAND_BITS, LIKE = 12, 24, 0.85
 LAST = (1 << 63) - 1
+#: Classes of a bucket that are held against those of another block, at most or so.
+CLASSES = 2_000
 #: So few texts walk on one by one, which costs less than steps of whole arrays.
 FEW = 24
 
@@ -153,22 +156,25 @@ def parse(fingerprint: str) -> tuple[int, np.ndarray]:
     return n, np.unpackbits(np.frombuffer(bytes.fromhex(digits), np.uint8))[: samples_of(n)]
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_links long, like_id long"
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_links long, like_id long, class_id long"
+
+#: What banding finds of a text.
+FOUND = ["n_links", "like_id", "class_id"]
 
 
 def _with_edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, kind, doc_id, text, n_links, like_id) in order. Kind 0: a text; 1: its links, before it; 2: the first text of the next bucket. Every text is followed by its successor."""
+    """Rows (bucket, kind, doc_id, text, n_links, like_id, class_id) in order. Kind 0: a text; 1: its links, before it; 2: the first text of the next bucket. Every text is followed by its successor."""
     carry: list[tuple] = []
-    links: tuple = (None, 0, None)
+    links: tuple = (None, 0, None, None)
     for batch in batches:
         columns = batch.to_pydict()
         rows = carry
-        for kind, doc_id, text, n, like_id in zip(columns["kind"], columns["doc_id"], columns["text"], columns["n_links"], columns["like_id"]):
+        for kind, doc_id, text, *found in zip(*(columns[c] for c in ("kind", "doc_id", "text", *FOUND))):
             if kind == 1:
-                links = (doc_id, n, like_id)
+                links = (doc_id, *found)
             else:
-                known = links if doc_id is not None and links[0] == doc_id else (doc_id, 0, doc_id)
-                rows.append((kind == 2, doc_id, text, known[1], known[2]))
+                known = links if doc_id is not None and links[0] == doc_id else (doc_id, 0, doc_id, doc_id)
+                rows.append((kind == 2, doc_id, text, *known[1:]))
         carry = rows[-1:]
         own = [i for i in range(len(rows) - 1) if not rows[i][0]]
         if not own:
@@ -187,8 +193,7 @@ def _with_edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(render(bits[changed], lengths[changed])),
                 pa.array(likeness(bits[mine], lengths[mine], bits[changed], lengths[changed])),
                 pa.array(likeness(bits[mine], lengths[mine], bits[after], lengths[after])),
-                pa.array([rows[i][3] for i in own], pa.int64()),
-                pa.array([rows[i][4] for i in own], pa.int64()),
+                *(pa.array([rows[i][k] for i in own], pa.int64()) for k in (3, 4, 5)),
             ],
             names=[x.split()[0] for x in RESULT.split(", ")],
         )
@@ -196,7 +201,7 @@ def _with_edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text (second half from the next document), their likenesses, and what banding links the text with:
-    the number of its verified links, and the least doc_id among them and itself."""
+    the number of its verified links, the least doc_id among them and itself, and the least doc_id that links reach."""
     spark = docs.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -213,15 +218,15 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     firsts = [(r["bucket"], r["first"]) for r in rows.select("key", bucket("key").alias("bucket")).groupBy("bucket").agg(F.min("key").alias("first")).orderBy("bucket").collect()]
     halo = [(firsts[i - 1][0], first) for i, (_, first) in enumerate(firsts)]
     halos = F.broadcast(spark.createDataFrame(halo, "bucket int, key long"))
-    no_links = [F.lit(None).cast("long").alias(c) for c in ("n_links", "like_id")]
+    no_links = [F.lit(None).cast("long").alias(c) for c in FOUND]
     text = rows.select(bucket("key").alias("bucket"), F.lit(0).alias("kind"), "key", "doc_id", "text", *no_links)
     next_text = rows.join(halos, "key").select("bucket", F.lit(2).alias("kind"), "key", "doc_id", "text", *no_links)
-    linked = link_counts(near_links(docs))
-    linked = linked.select(bucket("doc_id").alias("bucket"), F.lit(1).alias("kind"), F.col("doc_id").alias("key"), "doc_id", F.lit(None).cast("string").alias("text"), "n_links", "like_id")
+    linked = near_classes(docs)
+    linked = linked.select(bucket("doc_id").alias("bucket"), F.lit(1).alias("kind"), F.col("doc_id").alias("key"), "doc_id", F.lit(None).cast("string").alias("text"), *FOUND)
     # A bucket's own rows by key, links before the texts they are of; then the next bucket's first.
     order = ["bucket", F.col("kind") == 2, "key", F.col("kind") == 0, "text"]
     placed = text.unionByName(next_text).unionByName(linked).repartition(parts, "bucket").sortWithinPartitions(*order)
-    return placed.select("bucket", "kind", "doc_id", "text", "n_links", "like_id").mapInArrow(_with_edits, RESULT)
+    return placed.select("bucket", "kind", "doc_id", "text", *FOUND).mapInArrow(_with_edits, RESULT)
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,35 +257,104 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(flat.astype(np.int64)), owners], names=["band", "doc_id"])
 
 
+def _padded(lengths: list[int], packed: list[bytes]) -> np.ndarray:
+    """Bits of fingerprints, a row for each, as embed() gives them: behind a text's own the bits of the end symbol."""
+    rows = [np.unpackbits(np.frombuffer(p, np.uint8))[: samples_of(n)] for n, p in zip(lengths, packed)]
+    out = np.tile(_bits[: max(map(len, rows), default=0), 0], (len(rows), 1))
+    for k, row in enumerate(rows):
+        out[k, : len(row)] = row
+    return out
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Likeness of pairs (a, na, fa, b, nb, fb)."""
     for batch in batches:
         a, na, fa, b, nb, fb = batch.columns
         out = []
         for n, p, m, q in zip(na.to_pylist(), fa.to_pylist(), nb.to_pylist(), fb.to_pylist()):
-            p, q = (np.unpackbits(np.frombuffer(x, np.uint8))[: samples_of(k)] for x, k in ((p, n), (q, m)))
-            width = max(len(p), len(q))
-            bits = np.tile(_bits[:width, 0], (2, 1))
-            bits[0, : len(p)], bits[1, : len(q)] = p, q
+            bits = _padded([n, m], [p, q])
             out.append(float(likeness(bits[:1], np.array([n]), bits[1:], np.array([m]))[0]))
         yield pa.RecordBatch.from_arrays([a, b, pa.array(out, pa.float64())], names=["a", "b", "likeness"])
 
 
-def near_links(docs: DataFrame, like: float = LIKE) -> DataFrame:
-    """Verified pairs (a, b, likeness), a < b: each text and the least text of every bucket they share. Equal texts share all buckets."""
-    ship(docs.sparkSession)
-    rows = docs.filter("doc_id is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = scratch(rows.mapInArrow(_prints, "doc_id long, n long, bits binary"), "edit-prints")
-    banded = prints.mapInArrow(_bands, "band long, doc_id long")
+def _stars(banded: DataFrame, prints: DataFrame, like: float) -> DataFrame:
+    """Verified pairs of each class and the least class of every bucket they share."""
     centres = banded.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a <> z").select("band", "a")
     pairs = banded.join(scratch(centres, "edit-centres"), "band").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     pairs = scratch(pairs, "edit-pairs")
     both = pairs.join(prints.toDF("a", "na", "fa"), "a").join(prints.toDF("b", "nb", "fb"), "b").select("a", "na", "fa", "b", "nb", "fb")
     # An id on several rows counts by its likest.
-    return both.mapInArrow(_verified, "a long, b long, likeness double").groupBy("a", "b").agg(F.max("likeness").alias("likeness")).filter(F.col("likeness") >= like)
+    links = both.mapInArrow(_verified, "a long, b long, likeness double").groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
+    return scratch(links.filter(F.col("likeness") >= like), "edit-stars")
+
+
+def _off_centre(banded: DataFrame, prints: DataFrame, labels: DataFrame, like: float) -> DataFrame:
+    """Verified pairs of classes of different components that share a bucket, one at least for each two components that have any there.
+
+    In each bucket of several components, the classes outside its largest one meet all others, in blocks.
+    """
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+    labelled = scratch(labels.join(sizes, "label").withColumnRenamed("node", "doc_id"), "edit-labels")
+    placed = banded.join(labelled, "doc_id", "left")
+    placed = scratch(placed.select("band", "doc_id", F.coalesce("label", "doc_id").alias("label"), F.coalesce("members", F.lit(1)).alias("members")), "edit-placed")
+    mixed = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("members", "label")).alias("largest"))
+    mixed = scratch(mixed.filter("low <> high").select("band", F.col("largest.label").alias("family")), "edit-mixed")
+    apart = placed.join(mixed, "band").select("band", "doc_id", "label", (F.col("label") != F.col("family")).alias("outside"))
+    rows = meet_in_blocks(scratch(apart, "edit-apart"), ["band"], F.lit(1), CLASSES)
+
+    def compare(block: pa.Table) -> pa.Table:
+        ids, labels, n = (block.column(c).to_numpy() for c in ("doc_id", "label", "n"))
+        left, bits = block.column("left").to_numpy(), _padded(n.tolist(), block.column("bits").to_pylist())
+        right, found = np.flatnonzero(~left), {}
+        for i in np.flatnonzero(left):
+            others = right[labels[right] != labels[i]]
+            likes = likeness(np.broadcast_to(bits[i], (len(others), bits.shape[1])), np.full(len(others), n[i]), bits[others], n[others])
+            for j, value in zip(others[likes >= like].tolist(), likes[likes >= like].tolist()):
+                found.setdefault((min(labels[i], labels[j]), max(labels[i], labels[j])), (min(ids[i], ids[j]), max(ids[i], ids[j]), value))
+        a, b, value = zip(*found.values()) if found else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "likeness": pa.array(value, pa.float64())})
+
+    links = rows.join(prints, "doc_id").groupBy("band", "i", "j").applyInArrow(compare, "a long, b long, likeness double")
+    return scratch(links.groupBy("a", "b").agg(F.max("likeness").alias("likeness")), "edit-off-centre")
+
+
+def _near(docs: DataFrame, like: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (a, b, likeness) of classes, known by their least doc_id; labels (node, label) of the classes that have any; and each document's classes (a, doc_id)."""
+    ship(docs.sparkSession)
+    rows = docs.filter("doc_id is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints = scratch(rows.mapInArrow(_prints, "doc_id long, n long, bits binary"), "edit-prints")
+    classes = scratch(prints.groupBy("n", "bits").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "n", "bits"), "edit-classes")
+    member_of = scratch(prints.join(classes.withColumnRenamed("doc_id", "a"), ["n", "bits"]).select("a", "doc_id").distinct(), "edit-members")
+    # An id on several rows joins the classes of its texts.
+    several = member_of.groupBy("doc_id").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("doc_id")
+    bridges = scratch(member_of.join(several, "doc_id", "left_semi").select("a", F.col("doc_id").alias("b")), "edit-bridges")
+    banded = scratch(classes.mapInArrow(_bands, "band long, doc_id long"), "edit-bands")
+    links = _stars(banded, classes, like)
+    labels = components(links.select("a", "b").unionByName(bridges))
+    more = _off_centre(banded, classes, labels, like)
+    labels = components(links.unionByName(more).select("a", "b").unionByName(bridges))
+    return links.unionByName(more).distinct(), labels, member_of
 
 
-def link_counts(links: DataFrame) -> DataFrame:
-    """(doc_id, n_links, like_id) of every id that has a link."""
-    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("a").alias("least")), F.struct(F.col("b").alias("doc_id"), F.col("a").alias("least")))).alias("e"))
-    return ends.groupBy("e.doc_id").agg(F.count(F.lit(1)).alias("n_links"), F.min("e.least").alias("like_id"))
+def _with_copies(links: DataFrame, member_of: DataFrame) -> DataFrame:
+    copies = member_of.filter("a <> doc_id").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("likeness"))
+    return links.unionByName(copies).groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
+
+
+def near_links(docs: DataFrame, like: float = LIKE) -> DataFrame:
+    """Verified pairs (a, b, likeness), a < b, that connect all like texts which share a bucket. Of equal texts each is linked with the least doc_id, which stands for them in all other links."""
+    links, _, member_of = _near(docs, like)
+    return _with_copies(links, member_of)
+
+
+def near_classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
+    """(doc_id, n_links, like_id, class_id) of every id that has a link: how many of near_links(), the least id of these and itself, the least id that links reach."""
+    links, labels, member_of = _near(docs, like)
+    none = F.lit(None).cast("long")
+    end = lambda c: F.struct(F.col(c).alias("doc_id"), F.col("a").alias("like_id"), F.lit(1).cast("long").alias("n_links"), none.alias("class_id"))
+    ends = _with_copies(links, member_of).select(F.explode(F.array(end("a"), end("b"))).alias("e")).select("e.*")
+    label = F.coalesce("label", "a")
+    reached = member_of.join(labels.withColumnRenamed("node", "a"), "a", "left").filter(label != F.col("doc_id"))
+    reached = reached.select("doc_id", none.alias("like_id"), F.lit(0).cast("long").alias("n_links"), label.alias("class_id"))
+    found = ends.unionByName(reached).groupBy("doc_id").agg(F.sum("n_links").alias("n_links"), F.min("like_id").alias("like_id"), F.min("class_id").alias("class_id"))
+    return found.select("doc_id", "n_links", F.coalesce("like_id", "doc_id").alias("like_id"), F.coalesce("class_id", "doc_id").alias("class_id"))

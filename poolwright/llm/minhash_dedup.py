@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from poolwright.llm.common import keep_matching, scratch
-from poolwright.llm.components import components
+from poolwright.llm.components import components, meet_in_blocks
 from poolwright.llm.shingles import mix, shingle_set, similar
 from poolwright.session import ship
 
@@ -125,21 +125,6 @@ def confirm(stars: DataFrame, texts: DataFrame) -> DataFrame:
     return scratch(rows.select("centre", "member", "text").mapInArrow(_confirm, "a long, b long"), "near-links")
 
 
-def _met(rows: DataFrame, keys: list[str], size: Column, block: int) -> DataFrame:
-    """rows (with outside: whether it is out of its key's largest component), laid out so that each outside one (left) meets every other of its key in one block (i, j).
-
-    Blocks have a tenth of the given size, so that several tasks share a key, or the given size where that would take more than 16 of them a side.
-    """
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / block), F.least(F.lit(16), F.ceil(10 * n / block))).cast("int")
-    sizes = rows.groupBy(*keys).agg(blocks(F.sum(size)).alias("all"), blocks(F.sum(F.when(F.col("outside"), size).otherwise(0))).alias("out"))
-    own = rows.join(scratch(sizes, "block-sizes"), keys)
-    place = lambda n: F.pmod(F.hash("doc_id"), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = own.filter("outside").withColumn("i", place("out")).withColumn("j", every("all")).withColumn("left", F.lit(True))
-    right = own.withColumn("i", every("out")).withColumn("j", place("all")).withColumn("left", F.lit(False))
-    return left.unionByName(right).drop("all", "out", "outside")
-
-
 def _fits(n: np.ndarray, labels: np.ndarray, bits: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
     """Those of others whose label differs from row i's, and whose size and single bits allow a link with it. bits: unsigned, as those of a negative number would be counted of its absolute value."""
     differ = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
@@ -193,12 +178,12 @@ def _missed(crowd: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     apart = placed.join(mixed, "band").select("band", "family", "doc_id", "label", *figures, (F.col("label") != F.col("family")).alias("outside"))
     apart = scratch(apart, "apart")
 
-    met = _met(apart.drop("family"), ["band"], F.lit(1), CLASSES).select(*HOPEFUL)
+    met = meet_in_blocks(apart.drop("family"), ["band"], F.lit(1), CLASSES).select(*HOPEFUL)
     met = met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     hopeful = scratch(met.mapInArrow(_hopeful, "doc_id long").distinct(), "hopeful")
 
     family = scratch(apart.join(hopeful, "doc_id", "left_semi").drop("band").distinct(), "families")
-    rows = scratch(_met(family, ["family"], F.col("n"), SHINGLES), "blocks").join(texts, "doc_id")
+    rows = scratch(meet_in_blocks(family, ["family"], F.col("n"), SHINGLES), "blocks").join(texts, "doc_id")
     return scratch(rows.groupBy("family", "i", "j").applyInArrow(_compare, "a long, b long").distinct(), "missed-links")
 
 

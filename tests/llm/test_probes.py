@@ -211,6 +211,25 @@ def test_links_of_fingerprints_against_brute_force(spark, data):
         assert (table[i]["n_links"], table[i]["like_id"]) == (len(own), min([i, *[a for a, _ in own]]))
 
 
+def test_fingerprints_off_the_centre_of_their_bucket(spark):
+    """Of one bucket, 2 and 3 are alike and 1, its least, is like neither; so are 5 and 6 in a bucket of which most are linked already."""
+    base, other = prose(400, 61), prose(400, 62)
+    texts = {1: prose(380, 63), 2: base, 3: base[:1500] + "xyz" + base[1503:], 4: prose(390, 64), 5: other, 6: other[:1200] + "??" + other[1202:], 7: prose(400, 65)}
+    classes = spark.createDataFrame(list(texts.items()), "doc_id long, text string").mapInArrow(fingerprint._prints, "doc_id long, n long, bits binary")
+    banded = spark.createDataFrame([(8, 1), (8, 2), (8, 3), (9, 1), (9, 4), (9, 5), (9, 6), (9, 7)], "band long, doc_id long")
+    labels = spark.createDataFrame([(1, 1), (4, 1), (7, 1)], "node long, label long")
+    assert fingerprint._stars(banded, classes, fingerprint.LIKE).count() == 0
+    found = fingerprint._off_centre(banded, classes, labels, fingerprint.LIKE).collect()
+    assert sorted((r["a"], r["b"]) for r in found) == [(2, 3), (5, 6)]
+
+
+def test_fingerprint_classes_reach_through_links_and_shared_ids(spark):
+    base = prose(400, 71)
+    rows = [(3, base), (5, base), (4, base[:900] + "xyz" + base[903:]), (4, prose(300, 72)), (9, prose(300, 72)), (11, prose(310, 73)), (None, base), (12, ""), (13, "")]
+    found = {r["doc_id"]: (r["n_links"], r["like_id"], r["class_id"]) for r in fingerprint.fingerprint_neighbours(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {3: (2, 3, 3), 4: (2, 3, 3), 5: (1, 3, 3), 9: (1, 4, 3), 11: (0, 11, 11), 12: (0, 12, 12), 13: (0, 13, 13), None: (0, None, None)}
+
+
 def plain_walk(text):
     """The embedding of one text, character by character."""
     symbols, out, at = [*fingerprint.symbols(text).tolist(), 0], {}, 0
