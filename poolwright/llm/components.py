@@ -29,6 +29,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
+def join_components(labels: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """labels (node, label) of components() after further edges: only the components that these connect are looked at again."""
+    ends = edges.select(F.explode(F.array(a, b)).alias("node")).distinct()
+    known = scratch(labels.unionByName(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))), "cc-known")
+    of = lambda c: known.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    merged = components(edges.select(a, b).join(of(a), a).join(of(b), b), f"{a}_label", f"{b}_label")
+    merged = merged.select(F.col("node").alias("label"), F.col("label").alias("merged"))
+    return scratch(known.join(merged, "label", "left").select("node", F.coalesce("merged", "label").alias("label")), "cc-joined")
+
+
 def meet_in_blocks(rows: DataFrame, keys: list[str], size: Column, block: int) -> DataFrame:
     """rows (with outside: whether it is out of its key's largest component), laid out so that each outside one (left) meets every other of its key in one block (i, j).
 

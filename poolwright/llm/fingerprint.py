@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poolwright.llm.common import scratch
-from poolwright.llm.components import components, meet_in_blocks
+from poolwright.llm.components import components, join_components, meet_in_blocks
 from poolwright.session import ship
 
 PER_OCTAVE = 128
@@ -288,6 +288,14 @@ def _stars(banded: DataFrame, prints: DataFrame, like: float) -> DataFrame:
     return scratch(links.filter(F.col("likeness") >= like), "edit-stars")
 
 
+def _spanning(stars: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what the stars connect: each class with its least centre, and this one with its other centres, of which a class has two a band at most."""
+    centres = stars.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("c"))
+    edge = lambda to: F.struct(F.col("c")[0].alias("a"), to.alias("b"))
+    others = F.transform(F.filter("c", lambda x: x != F.col("c")[0]), edge)
+    return centres.select(F.explode(F.concat(F.array(edge(F.col("b"))), others)).alias("e")).select("e.a", "e.b").distinct()
+
+
 def _off_centre(banded: DataFrame, prints: DataFrame, labels: DataFrame, like: float) -> DataFrame:
     """Verified pairs of classes of different components that share a bucket, one at least for each two components that have any there.
 
@@ -330,10 +338,9 @@ def _near(docs: DataFrame, like: float) -> tuple[DataFrame, DataFrame, DataFrame
     bridges = scratch(member_of.join(several, "doc_id", "left_semi").select("a", F.col("doc_id").alias("b")), "edit-bridges")
     banded = scratch(classes.mapInArrow(_bands, "band long, doc_id long"), "edit-bands")
     links = _stars(banded, classes, like)
-    labels = components(links.select("a", "b").unionByName(bridges))
+    labels = components(_spanning(links).unionByName(bridges))
     more = _off_centre(banded, classes, labels, like)
-    labels = components(links.unionByName(more).select("a", "b").unionByName(bridges))
-    return links.unionByName(more).distinct(), labels, member_of
+    return links.unionByName(more).distinct(), join_components(labels, more), member_of
 
 
 def _with_copies(links: DataFrame, member_of: DataFrame) -> DataFrame:
