@@ -43,6 +43,8 @@ BANDS, BAND_BITS, LIKE = 12, 24, 0.85
 LAST = (1 << 63) - 1
 #: Classes of a bucket that are held against those of another block, at most or so.
 CLASSES = 2_000
+#: Pairs of a block that are compared at once, or the pairs of one class.
+PAIRS = 4_096
 #: So few texts walk on one by one, which costs less than steps of whole arrays.
 FEW = 24
 
@@ -313,16 +315,21 @@ def _off_centre(banded: DataFrame, prints: DataFrame, labels: DataFrame, like: f
     def compare(block: pa.Table) -> pa.Table:
         ids, labels, n = (block.column(c).to_numpy() for c in ("doc_id", "label", "n"))
         left, bits = block.column("left").to_numpy(), _padded(n.tolist(), block.column("bits").to_pylist())
-        right, found = np.flatnonzero(~left), {}
-        for i in np.flatnonzero(left):
-            others = right[labels[right] != labels[i]]
-            likes = likeness(np.broadcast_to(bits[i], (len(others), bits.shape[1])), np.full(len(others), n[i]), bits[others], n[others])
-            for j, value in zip(others[likes >= like].tolist(), likes[likes >= like].tolist()):
-                found.setdefault((min(labels[i], labels[j]), max(labels[i], labels[j])), (min(ids[i], ids[j]), max(ids[i], ids[j]), value))
+        mine, others, found = np.flatnonzero(left), np.flatnonzero(~left), {}
+        rows = max(1, PAIRS // max(1, len(others)))
+        for low in range(0, len(mine), rows):
+            i, j = (x.ravel() for x in np.meshgrid(mine[low : low + rows], others, indexing="ij"))
+            i, j = i[labels[i] != labels[j]], j[labels[i] != labels[j]]
+            likes = likeness(bits[i], n[i], bits[j], n[j])
+            for x, y, value in zip(i[likes >= like].tolist(), j[likes >= like].tolist(), likes[likes >= like].tolist()):
+                found.setdefault((min(labels[x], labels[y]), max(labels[x], labels[y])), (min(ids[x], ids[y]), max(ids[x], ids[y]), value))
         a, b, value = zip(*found.values()) if found else ((), (), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "likeness": pa.array(value, pa.float64())})
 
-    links = rows.join(prints, "doc_id").groupBy("band", "i", "j").applyInArrow(compare, "a long, b long, likeness double")
+    # Small rows, much work: as many tasks as partitions are asked for, however few bytes there are.
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.join(prints, "doc_id").repartition(parts, "band", "i", "j")
+    links = placed.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long, likeness double")
     return scratch(links.groupBy("a", "b").agg(F.max("likeness").alias("likeness")), "edit-off-centre")
 
 
