@@ -44,7 +44,7 @@ LAST = (1 << 63) - 1
 #: Classes of a bucket that are held against those of another block, at most or so.
 CLASSES = 2_000
 #: Pairs of a block that are compared at once, or the pairs of one class.
-PAIRS = 4_096
+PAIRS = 512
 #: So few texts walk on one by one, which costs less than steps of whole arrays.
 FEW = 24
 
