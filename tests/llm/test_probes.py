@@ -276,3 +276,20 @@ def test_keys_that_cross_buckets_repeat(spark):
         finally:
             suffix_dedup.BUCKET = before
         assert sorted(r["i"] for r in rows if r["repeat"]) == [i for i, k in enumerate(keys) if keys.count(k) > 1]
+
+
+def test_what_is_left_of_texts_with_planted_passages(spark):
+    """The operator gives texts and spans, not digests alone; a passage of over 50 words goes from 400 bytes on, and clean texts stay."""
+    passage, short = prose(90, 41), prose(51, 42)  # of over 400 bytes, and less
+    texts = {i: f"{prose(40, 300 + i)}\n{passage if i % 2 else short}\né{prose(30, 400 + i)}" for i in range(8)} | {i: prose(150, 500 + i) for i in range(8, 16)}
+    cut = suffix_dedup.cut_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    report = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.report(cut).collect()}
+    assert [report[i] for i in range(16)] == plain.repeats(list(texts.values()))
+    for r in cut.collect():
+        text, spans = texts[r["doc_id"]].encode(), [(s["start"], s["stop"]) for s in r["spans"]]
+        if r["doc_id"] in (1, 3, 5, 7):
+            assert [text[a:b].strip(b"\n\xc3\xa9").decode().startswith(passage) for a, b in spans] == [True]
+        else:
+            assert spans == []
+        gone = {k for a, b in spans for k in range(a, b)}
+        assert bytes(r["kept"]) == bytes(b for k, b in enumerate(text) if k not in gone)
